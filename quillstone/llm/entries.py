@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fst, packing, quality, rans, warc, winnow
+from . import fst, minhash, packing, quality, rans, warc, winnow
 
-MODULES = [fst, rans, warc, winnow, quality, packing]
+MODULES = [fst, rans, warc, minhash, winnow, quality, packing]
 
 
 def queries():
