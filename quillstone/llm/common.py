@@ -146,6 +146,17 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+def sliding_argmin(x: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Minimum of each w consecutive values and its first place."""
+    out, at, have = x, np.arange(len(x)), 1
+    while have < w:
+        step = min(have, w - have)
+        right = out[step:] < out[:-step]
+        out, at = np.where(right, out[step:], out[:-step]), np.where(right, at[step:], at[:-step])
+        have += step
+    return out, at
+
+
 def arrow_texts(col: pa.Array) -> list[bytes | None]:
     return col.cast(pa.binary()).to_pylist()
 
