@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fmindex, fst, minhash, packing, quality, rans, warc, winnow
+from . import fmindex, fst, langid, lm, minhash, packing, quality, rans, warc, winnow
 
-MODULES = [fst, rans, fmindex, warc, minhash, winnow, quality, packing]
+MODULES = [fst, rans, fmindex, warc, minhash, winnow, langid, quality, packing, lm]
 
 
 def queries():

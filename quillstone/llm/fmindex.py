@@ -289,16 +289,16 @@ def to_shards(docs: DataFrame, found: DataFrame, hot: np.ndarray, width: int) ->
                     n = np.concatenate([n[~is_hot], np.ones(len(d), np.int64)])
                 ids = b.column("doc_id").slice(i, j - i).to_numpy()[doc]
                 order = np.lexsort((at, ids))
-                seen: set[bytes] = set()
+                seen: dict[bytes, tuple[int, int]] = {}
                 out: list[tuple] = []
                 s, e = w.start[w.first[doc] + at], w.end[w.first[doc] + at + n + width - 2]
                 for x in order.tolist():
                     content = w.raw[s[x] : e[x]]
-                    if content in seen:
-                        out.append((int(mix(np.array([x], np.uint64))[0] >> np.uint64(1)), None, int(ids[x]), int(at[x]), int(n[x])))
+                    here = int(ids[x]), int(at[x])
+                    if seen.setdefault(content, here) != here:
+                        out.append((int(mix(np.array([x], np.uint64))[0] >> np.uint64(1)), None, *here, int(n[x])))
                     else:
-                        seen.add(content)
-                        out.append((int(m[x]), content, int(ids[x]), int(at[x]), int(n[x])))
+                        out.append((int(m[x]), content, *here, int(n[x])))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["route", "content", "doc_id", "at", "n"])
 
