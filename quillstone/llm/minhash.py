@@ -7,8 +7,8 @@ At the least similarity 0.8 a pair is missed with a chance below 2 * (1 - 0.8**3
 1. Each document's set, its 64-bit sum and the members' hashes come from one scan. Documents with equal sets
    are one class from here on, so thousands of copies weigh as one.
 2. A class looks up its A members; those that no other class has are dropped before the pairs are formed.
-3. Classes of one table key are joined to the least of them (no pairs within a key), and components of this
-   graph hold every link that the tables can find.
+3. Classes that share a table key are joined by a forest over their A member's classes (no pairs within a
+   key), and components of this graph hold every link that the tables can find.
 4. In each such component links are found exactly, on full sets: a search from class to class compares the
    class at hand, through an inverted index, with those that aren't reached yet; it ends once all are reached.
    Components of more than LARGE shingles are searched in rounds over the cluster, HUBS classes at a time.
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, Words, arrow_texts, grams, mix, shared_dir, shuffle_parts, slices, staged, table
 
 HALF, SIDE = 3, 16
+#: Classes of one A member beyond which they are dealt out by whole table keys.
+HOT = 20_000
 #: Shingles of a component that one task searches; larger ones go over the cluster.
 LARGE = 4_000_000
 #: Classes, and shingles in all, that are sent to every task in one round over the cluster.
@@ -98,18 +100,65 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, n long, cls long, a array<long>, b array<long>")
 
 
-def candidate_edges(classes: DataFrame, where: str) -> DataFrame:
-    """u, v: a class and the least class that shares a table key with it."""
-    a = classes.select("cls", F.explode("a").alias("key"))
-    shared = a.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    live = staged(a.join(shared, "key").groupBy("cls").agg(F.collect_list("key").alias("a")), f"{where}/live")
-    pairs = live.join(classes.select("cls", "b"), "cls").select("cls", F.explode("a").alias("x"), "b").select("cls", "x", F.explode("b").alias("y"))
-    keys = pairs.select("cls", F.xxhash64("x", "y").alias("key"))
+def least_labels(group: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each row the least row that shares a key with it, directly or by others, in the same group.
+
+    keys: rows x SIDE, each column a collection of its own.
+    """
+    label = np.arange(len(group))
+    orders = []
+    for j in range(keys.shape[1]):
+        order = np.lexsort((keys[:, j], group))
+        new = np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (keys[order, j][1:] != keys[order, j][:-1])])
+        orders.append((order, np.flatnonzero(new), np.cumsum(new) - 1))
+    while True:
+        before = label.copy()
+        for order, starts, run in orders:
+            label[order] = np.minimum.reduceat(label[order], starts)[run]
+        if (label == before).all():
+            return label
+
+
+def candidate_edges(classes: DataFrame, where: str, hot: int = HOT) -> DataFrame:
+    """u, v: classes that share a table key, as a forest over each A member's classes (no pairs within a key).
+
+    An A member's classes meet in one task with their B members, unless more than hot classes have it: those
+    are dealt out by the whole table key, and each goes to the first class of the key.
+    """
+    parts = shuffle_parts(classes.sparkSession)
+    a = classes.select("cls", F.explode("a").alias("x"))
+    shared = a.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    live = staged(a.join(shared, "x").groupBy("cls").agg(F.collect_list(F.struct("x", "c")).alias("xs")), f"{where}/live")
+    rows = live.join(classes.select("cls", "b"), "cls").select("cls", F.explode("xs").alias("s"), "b").select("cls", "s.x", "s.c", "b")
+
+    def edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            x, cls = b.column("x").to_numpy(), b.column("cls").to_numpy()
+            keys = b.column("b").flatten().to_numpy().reshape(len(x), -1)
+            if not len(x):
+                continue
+            held.append((x, cls, keys))
+            if sum(len(h[0]) for h in held) < 20_000:
+                continue
+            x, cls, keys = (np.concatenate(p) for p in zip(*held, strict=True))
+            cut = int(np.searchsorted(x, x[-1], "left"))  # the last member may go on
+            if cut:
+                label = least_labels(x[:cut], keys[:cut])
+                some = label != np.arange(cut)
+                yield edges(cls[:cut][some], cls[label[some]])
+            held = [(x[cut:], cls[cut:], keys[cut:])]
+        if held:
+            x, cls, keys = (np.concatenate(p) for p in zip(*held, strict=True))
+            label = least_labels(x, keys)
+            some = label != np.arange(len(x))
+            yield edges(cls[some], cls[label[some]])
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come in order of their key: each goes to the first class of the key
         last_key = first = None
-        seen: set[tuple[int, int]] = set()
         for b in batches:
             key, cls = b.column("key").to_numpy(), b.column("cls").to_numpy()
             if not len(key):
@@ -119,13 +168,13 @@ def candidate_edges(classes: DataFrame, where: str) -> DataFrame:
             hub = np.where(head >= 0, cls[np.maximum(head, 0)], first if first is not None else 0)
             last_key, first = key[-1], hub[-1]
             got = np.unique(np.stack([cls, hub], axis=1)[cls != hub], axis=0)
-            if len(seen) > 200_000:
-                seen.clear()
-            fresh = [p for p in map(tuple, got.tolist()) if p not in seen]
-            seen.update(fresh)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh], pa.int64()), pa.array([p[1] for p in fresh], pa.int64())], ["u", "v"])
+            yield edges(np.ascontiguousarray(got[:, 0]), np.ascontiguousarray(got[:, 1]))
 
-    return keys.repartition(shuffle_parts(classes.sparkSession), "key").sortWithinPartitions("key", "cls").mapInArrow(stars, "u long, v long").distinct()
+    out = rows.where(F.col("c") <= hot).select("x", "cls", "b").repartition(parts, "x").sortWithinPartitions("x").mapInArrow(forest, "u long, v long")
+    if shared.where(F.col("c") > hot).limit(1).count():
+        keys = rows.where(F.col("c") > hot).select("cls", "x", F.explode("b").alias("y")).select("cls", F.xxhash64("x", "y").alias("key"))
+        out = out.union(keys.repartition(parts, "key").sortWithinPartitions("key", "cls").mapInArrow(stars, "u long, v long"))
+    return out.distinct()
 
 
 def components(edges: DataFrame, where: str) -> DataFrame:
