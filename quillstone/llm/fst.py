@@ -23,12 +23,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .tok import CACHE, Encoder, encoder
+from .tok import Encoder, Recent, encoder, lowered, split
 
 #: Characters of a chunk.
 CHUNK = 1 << 16
 #: States that a worker keeps; beyond that the machine is determinised anew.
-STATES = 150_000
+STATES = 200_000
 END = "</w>"
 _MADE: dict[str, "Transducer"] = {}
 _SPACE = regex.compile(r"\s")
@@ -67,7 +67,6 @@ class Transducer:
         #: (state << 8 | byte) to (next state, tokens emitted)
         self.step: dict[int, tuple[int, int]] = {}
         self.stop: dict[int, int] = {}
-        self.counts: dict[str, int] = {}
         self.pairs.clear()
         self.start = self.state((("", "", 0),))
 
@@ -127,14 +126,11 @@ class Transducer:
         return got
 
     def count(self, word: str) -> int:
-        got = self.counts.get(word)
-        if got is None:
-            s, total, step = self.start, 0, self.step
-            for byte in word.encode():
-                s, n = step.get(s << 8 | byte) or self.advance(s, byte)
-                total += n
-            got = self.counts[word] = total + self.finish(s)
-        return got
+        s, total, step = self.start, 0, self.step
+        for byte in word.encode():
+            s, n = step.get(s << 8 | byte) or self.advance(s, byte)
+            total += n
+        return total + self.finish(s)
 
 
 class Counter:
@@ -144,14 +140,17 @@ class Counter:
         if not enc.words:
             raise ValueError("the vocabulary must mark word ends")
         self.enc, self.machine = enc, Transducer(enc.spec)
+        self.known = Recent()
 
     def plain(self, text: str) -> int:
-        find, counts, count = self.enc.pattern.findall, self.machine.counts, self.machine.count
-        total = 0
-        for w in find(text):
-            n = counts.get(w)
-            total += count(w) if n is None else n
-        return total
+        parts = split(text)
+        find, machine = self.enc.pattern.findall, self.machine
+        # a segment is a transition from the start to the start, and kept as such
+        for x in self.known.missing(parts):
+            if len(machine.states) > STATES:
+                machine.reset()
+            self.known.young[x] = sum(map(machine.count, find(x)))
+        return sum(map(self.known.young.__getitem__, parts))
 
     def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
         """Head, count, tail; a chunk without white space is all head, with None as its count."""
@@ -176,10 +175,6 @@ class Counter:
         return maps[0]
 
     def text(self, text: str, chunk: int = CHUNK) -> int:
-        from .tok import lowered
-
-        if len(self.machine.counts) > CACHE or len(self.machine.states) > STATES:
-            self.machine.reset()
         total = 0
         for k, part in enumerate(self.enc.cut.split(text) if "<|" in text else [text]):
             if k % 2:

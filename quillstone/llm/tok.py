@@ -1,6 +1,6 @@
-"""Whole-text encoding by a public tokenizer, with a bounded cache of pre-tokens.
+"""Whole-text encoding by a public tokenizer, with a bounded cache of segments.
 
-A pre-token never shares a token with its neighbours, so the library encodes each distinct one once and
+No token crosses a segment's borders, so the library encodes each distinct one once and
 texts are joined from the results. Tests hold this against the library's own encode_batch.
 """
 
@@ -8,24 +8,50 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import regex
 
-#: Pre-tokens that a worker keeps; the cache is emptied beyond that.
+#: Segments in a generation of a worker's cache.
 CACHE = 300_000
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_CONTROL = re.compile("[\x1c-\x1f]")
+_SPACE = regex.compile(r"\s+")
 _OPEN: dict[str, "Encoder"] = {}
 
 
+def split(text: str) -> list[str]:
+    """Parts between white space; the separators 1C to 1F, which str.split takes for such, are none."""
+    return text.split() if not _CONTROL.search(text) else [x for x in _SPACE.split(text) if x]
+
+
 def lowered(text: str) -> str:
     """NFC, then lower case letter by letter: a capital sigma has no final form."""
     text = text if text.isascii() else unicodedata.normalize("NFC", text)
     return text.replace("Σ", "σ").lower()
 
 
+class Recent:
+    """Two generations of at most CACHE entries (and one call's) each: what isn't used for a generation goes."""
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: Iterable) -> list:
+        """Keys without an entry; all others are in the young generation after this."""
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        new = set(keys).difference(self.young)
+        seen = [k for k in new if k in self.old]
+        self.young.update((k, self.old[k]) for k in seen)
+        return list(new.difference(seen))
+
+
 class Encoder:
     def __init__(self, name: str):
         import public_tokenizers
@@ -38,30 +64,57 @@ class Encoder:
             self.spec = json.load(f)
         self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        self.mark, self.mark_id = next(iter(self.special.items()))
         pre = self.spec["pre_tokenizer"]
         self.words = pre["type"] == "Sequence"
         self.pattern = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"] if self.words else BYTE_PATTERN)
-        self.cache: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        """Pre-tokens of a text; special strings stand among them as they are."""
-        find, low = self.pattern.findall, lowered if self.words else str
-        if "<|" not in text:
-            return find(low(text))
-        out: list[str] = []
-        for k, part in enumerate(self.cut.split(text)):
-            out += [part] if k % 2 else find(low(part))
-        return out
+        self.cache = Recent()
+
+    def segments(self, text: str) -> list[str]:
+        """Parts of a text without special strings, cut where no token can cross.
+
+        Where word ends are marked, that is white space. Else it is before a single space and around a single
+        line end that stand between other characters; texts with other white space are cut by the pattern.
+        """
+        if self.words:
+            return split(text)
+        parts = text.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
+        if "\x1f" in text or "" in parts or " " in parts or len(text.split()) != len(parts) - text.count("\n"):
+            return self.pattern.findall(text)
+        return parts
+
+    def learn(self, new: list[str]) -> None:
+        """Encode many segments in one call: special marks stand between them."""
+        for i in range(0, len(new), 2000):
+            part = new[i : i + 2000]
+            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(ids == self.mark_id)
+            raw = ids.tobytes()
+            ends = [*(4 * at).tolist(), len(raw)]
+            if len(ends) != len(part):
+                raise ValueError("a segment holds a special string")
+            a = 0
+            for p, z in zip(part, ends, strict=True):
+                self.cache.young[p] = raw[a:z]
+                a = z + 4
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        found = [self.pieces(t) for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = list({p for f in found for p in f if p not in self.cache})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cache[p] = np.array(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
+        low = lowered if self.words else str
+        found: list[list] = []
+        for t in texts:
+            if "<|" in t:
+                parts: list = []
+                for k, part in enumerate(self.cut.split(t)):
+                    parts += [part] if k % 2 else self.segments(low(part))
+                found.append(parts)
+            else:
+                found.append(self.segments(low(t)))
+        special = {k: np.array([v], "<u4").tobytes() for k, v in self.special.items()}
+        new = self.cache.missing(chain.from_iterable(found))
+        self.cache.young.update(special)
+        self.learn([x for x in new if x not in special])
+        get = self.cache.young.__getitem__
         return [b"".join(map(get, f)) for f in found]
 
 

@@ -220,6 +220,34 @@ def test_op5_components(docs, none, by_id, large, monkeypatch):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_op5_forests(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 30, (200, minhash.SIDE)), rng.integers(0, 60, (200, minhash.SIDE))
+    a[20:, 4:], b[40:, 2:] = rng.integers(10**6, 10**9, a[20:, 4:].shape), rng.integers(10**6, 10**9, b[40:, 2:].shape)
+    a, b = a + 10**10 * np.arange(minhash.SIDE), b + 10**10 * np.arange(minhash.SIDE)  # as each member's hash has its number
+    classes = spark.createDataFrame([(int(k), x.tolist(), y.tolist()) for k, (x, y) in enumerate(zip(a, b, strict=True))], "cls long, a array<long>, b array<long>")
+    want = brute_groups(200, [(i, j) for i in range(200) for j in range(i) if (a[i] == a[j]).any() and (b[i] == b[j]).any()])
+    for hot in (10**6, 1):
+        e = [tuple(r) for r in minhash.candidate_edges(classes, shared_dir(spark), hot).collect()]
+        assert brute_groups(200, e) == want
+        roots = {r["node"]: r["root"] for r in minhash.components(spark.createDataFrame(e, "u long, v long"), shared_dir(spark)).collect()}
+        assert all(roots.get(i, i) == want[i] for i in range(200))
+
+
+def brute_groups(n, edges):
+    up = list(range(n))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for x, y in edges:
+        x, y = sorted((root(x), root(y)))
+        up[y] = x
+    return [root(i) for i in range(n)]
+
+
 def test_op5_repeats(spark):
     t, u = prose(random.Random(5), 50), prose(random.Random(6), 50)
     rows = minhash.near_duplicates(spark.createDataFrame([(7, t), (7, t), (7, u), (9, u), (None, t), (None, None)], "doc_id long, text string")).collect()
