@@ -1,0 +1,61 @@
+"""Plain text and title of HTML."""
+
+from __future__ import annotations
+
+import html
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+SILENT, BREAKS = {"script", "style", "noscript", "footer"}, {"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "section", "article", "nav", "header"}
+
+
+class Reader(HTMLParser):
+    """Collects text outside of silent elements; an element that isn't closed is silent to the end."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.title: list[str] = []
+        self.silent, self.in_title = 0, False
+
+    def handle_starttag(self, tag, attrs):
+        self.silent += tag in SILENT
+        self.in_title = tag == "title" or self.in_title
+        if tag in BREAKS:
+            self.parts.append("\n")
+
+    def handle_endtag(self, tag):
+        self.silent = max(0, self.silent - (tag in SILENT))
+        self.in_title = self.in_title and tag != "title"
+        if tag in BREAKS:
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title.append(data)
+        elif not self.silent:
+            self.parts.append(data)
+
+
+def plain(raw: str) -> tuple[str, str]:
+    """(text, title): lines of text with single spaces, without citation marks; entities are decoded twice over."""
+    r = Reader()
+    r.feed(raw)
+    r.close()
+    tidy = lambda s: " ".join(re.sub(r"\[\d{1,3}\]", " ", html.unescape(s)).split())
+    return "\n".join(x for x in map(tidy, "".join(r.parts).split("\n")) if x), tidy("".join(r.title))
+
+
+def html_to_text(pages: DataFrame) -> DataFrame:
+    """page_id, title, text of each page."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [plain(h or "") for h in b.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array([t for _, t in got], pa.string()), pa.array([t for t, _ in got], pa.string())], ["page_id", "title", "text"])
+
+    return pages.select(pages["page_id"].cast("long"), "html").mapInArrow(rows, "page_id long, title string, text string")
