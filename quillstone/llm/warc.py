@@ -11,6 +11,7 @@ in an archive. Extra columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
 
@@ -110,7 +111,7 @@ def dedup_plan(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, where: str, segment: int = SEGMENT) -> None:
-    """Write WARC files of dedup_plan's pages by Spark's own writer, so that lost tasks and repeats leave whole files only."""
+    """Write compressed WARC files of dedup_plan's pages by Spark's own writer, so that lost tasks and repeats leave whole files only."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,7 +128,7 @@ def write_archives(pages: DataFrame, where: str, segment: int = SEGMENT) -> None
 
     made = pages.mapInArrow(records, "value binary").select(F.col("value").cast("string"))
     # the separator that the text writer puts after each row is the one that ends a WARC record
-    made.write.mode("overwrite").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 2000).text(where)
+    made.write.mode("overwrite").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 2000).option("compression", "gzip").text(where)
 
 
 def read_records(spark: SparkSession, where: str) -> DataFrame:
@@ -140,7 +141,7 @@ def read_records(spark: SparkSession, where: str) -> DataFrame:
         for b in batches:
             for data in b.column("content"):
                 out, size = [], 0
-                for h, block in parse(data.as_py()):
+                for h, block in parse(gzip.decompress(data.as_py())):
                     out.append((bare(h["warc-record-id"]), h["warc-type"], bare(h.get("warc-segment-origin-id")), int(h["warc-segment-number"]) if "warc-segment-number" in h else None, int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, h.get("warc-payload-digest", "").removeprefix("sha1:") or None, bare(h.get("warc-refers-to")), h.get("warc-target-uri"), block))
                     size += len(block)
                     if size > 4 << 20:
