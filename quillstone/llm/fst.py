@@ -140,7 +140,7 @@ class Counter:
         if not enc.words:
             raise ValueError("the vocabulary must mark word ends")
         self.enc, self.machine = enc, Transducer(enc.spec)
-        self.known = Recent()
+        self.known = Recent(400_000)
 
     def plain(self, text: str) -> int:
         parts = split(text)

@@ -16,8 +16,8 @@ from itertools import chain
 import numpy as np
 import regex
 
-#: Segments in a generation of a worker's cache.
-CACHE = 300_000
+#: Segments, and pre-tokens that make them up, in a generation of a worker's caches.
+CACHE, PIECES = 300_000, 300_000
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CONTROL = re.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\s+")
@@ -36,15 +36,16 @@ def lowered(text: str) -> str:
 
 
 class Recent:
-    """Two generations of at most CACHE entries (and one call's) each: what isn't used for a generation goes."""
+    """Two generations of at most size entries (and one call's) each: what isn't used for a generation goes."""
 
-    def __init__(self):
+    def __init__(self, size: int = CACHE):
+        self.size = size
         self.young: dict = {}
         self.old: dict = {}
 
     def missing(self, keys: Iterable) -> list:
         """Keys without an entry; all others are in the young generation after this."""
-        if len(self.young) > CACHE:
+        if len(self.young) > self.size:
             self.old, self.young = self.young, {}
         new = set(keys).difference(self.young)
         seen = [k for k in new if k in self.old]
@@ -68,7 +69,7 @@ class Encoder:
         pre = self.spec["pre_tokenizer"]
         self.words = pre["type"] == "Sequence"
         self.pattern = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"] if self.words else BYTE_PATTERN)
-        self.cache = Recent()
+        self.cache, self.small = Recent(), Recent(PIECES)
 
     def segments(self, text: str) -> list[str]:
         """Parts of a text without special strings, cut where no token can cross.
@@ -84,19 +85,23 @@ class Encoder:
         return parts
 
     def learn(self, new: list[str]) -> None:
-        """Encode many segments in one call: special marks stand between them."""
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
+        """Join segments from their pre-tokens; new pre-tokens go to the library many in a call, special marks between them."""
+        cut = [self.pattern.findall(x) for x in new]
+        pieces = self.small.missing(chain.from_iterable(cut))
+        young = self.small.young
+        for i in range(0, len(pieces), 2000):
+            part = pieces[i : i + 2000]
             ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(ids == self.mark_id)
             raw = ids.tobytes()
-            ends = [*(4 * at).tolist(), len(raw)]
+            ends = [*(4 * np.flatnonzero(ids == self.mark_id)).tolist(), len(raw)]
             if len(ends) != len(part):
-                raise ValueError("a segment holds a special string")
+                raise ValueError("a pre-token holds a special string")
             a = 0
             for p, z in zip(part, ends, strict=True):
-                self.cache.young[p] = raw[a:z]
+                young[p] = raw[a:z]
                 a = z + 4
+        get = young.__getitem__
+        self.cache.young.update((x, b"".join(map(get, c))) for x, c in zip(new, cut, strict=True))
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
