@@ -10,6 +10,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable
 from itertools import chain
 
@@ -65,10 +66,12 @@ class Encoder:
             self.spec = json.load(f)
         self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.mark, self.mark_id = next(iter(self.special.items()))
         pre = self.spec["pre_tokenizer"]
         self.words = pre["type"] == "Sequence"
         self.pattern = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"] if self.words else BYTE_PATTERN)
+        # for pre-tokens, which are cut and normalised already
+        bare = self.spec | {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
         self.cache, self.small = Recent(), Recent(PIECES)
 
     def segments(self, text: str) -> list[str]:
@@ -85,21 +88,14 @@ class Encoder:
         return parts
 
     def learn(self, new: list[str]) -> None:
-        """Join segments from their pre-tokens; new pre-tokens go to the library many in a call, special marks between them."""
+        """Join segments from their pre-tokens; the library encodes those that are new."""
         cut = [self.pattern.findall(x) for x in new]
         pieces = self.small.missing(chain.from_iterable(cut))
         young = self.small.young
-        for i in range(0, len(pieces), 2000):
-            part = pieces[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
-            raw = ids.tobytes()
-            ends = [*(4 * np.flatnonzero(ids == self.mark_id)).tolist(), len(raw)]
-            if len(ends) != len(part):
-                raise ValueError("a pre-token holds a special string")
-            a = 0
-            for p, z in zip(part, ends, strict=True):
-                young[p] = raw[a:z]
-                a = z + 4
+        for i in range(0, len(pieces), 5000):
+            part = pieces[i : i + 5000]
+            for p, e in zip(part, self.bare.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                young[p] = array("I", e.ids).tobytes()
         get = young.__getitem__
         self.cache.young.update((x, b"".join(map(get, c))) for x, c in zip(new, cut, strict=True))
 
