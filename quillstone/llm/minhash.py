@@ -170,7 +170,7 @@ def candidate_edges(classes: DataFrame, where: str, hot: int = HOT) -> DataFrame
             got = np.unique(np.stack([cls, hub], axis=1)[cls != hub], axis=0)
             yield edges(np.ascontiguousarray(got[:, 0]), np.ascontiguousarray(got[:, 1]))
 
-    out = rows.where(F.col("c") <= hot).select("x", "cls", "b").repartition(parts, "x").sortWithinPartitions("x").mapInArrow(forest, "u long, v long")
+    out = rows.where(F.col("c") <= hot).select("x", "cls", "b").repartition(parts, "x").sortWithinPartitions("x", "cls").mapInArrow(forest, "u long, v long")
     if shared.where(F.col("c") > hot).limit(1).count():
         keys = rows.where(F.col("c") > hot).select("cls", "x", F.explode("b").alias("y")).select("cls", F.xxhash64("x", "y").alias("key"))
         out = out.union(keys.repartition(parts, "key").sortWithinPartitions("key", "cls").mapInArrow(stars, "u long, v long"))
