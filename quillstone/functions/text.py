@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,86 @@ alguien algo alguno cual cuando donde quien todo todos poco mucha muchos
 # Languages of translated pages that are left out.
 TRANSLATIONS = ["ar", "de", "fr", "hi", "id", "it", "ja", "ko", "pl", "pt", "ru", "tr", "vi", "zh"]
 
+# Letters up to U+024F with one letter below their accents: ACCENTED becomes PLAIN, place by place.
+_PAIRS = [(chr(c), b) for c in range(0xC0, 0x250) if len(b := "".join(x for x in unicodedata.normalize("NFKD", chr(c).lower()) if not unicodedata.combining(x))) == 1 and chr(c) == chr(c).lower() and b != chr(c)]
+ACCENTED, PLAIN = "".join(a for a, _ in _PAIRS), "".join(b for _, b in _PAIRS)
+
+
+def folded(text: Column) -> Column:
+    """Lower case, Latin accents off, anything but a-z and 0-9 to single spaces. Ligatures and combining marks are not taken apart."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), "[^a-z0-9]+", " "))
+
+
+# Words that vote for a language and carry no content in a question.
+VOTES_EN = """
+a an the of to in on for with and or is are was were be been how what why when where which who whom do does did can could should would will i my me we
+our you your it its this that these those from by at as about into than then there their they them if not no yes so get got have has had any some much
+many very please tell explain
+""".split()
+VOTES_ES = """
+el la los las un una unos unas de del al a en con por para y o u e es son fue era ser estar esta estan como que porque cuando donde cual cuales quien
+quienes hacer hago hace puedo puede pueden se mi mis me yo tu tus su sus lo le les este esto ese esa eso nos hay muy mas menos sin sobre entre debo debe
+dime explica
+""".split()
+ONLY_EN, ONLY_ES = [w for w in VOTES_EN if w not in VOTES_ES], [w for w in VOTES_ES if w not in VOTES_EN]
+
+
+def lang_votes(text: Column) -> Column:
+    """es if more words are Spanish alone than English alone, else en."""
+    t = F.split(folded(text), " ")
+    n = lambda words: F.size(F.filter(t, lambda w: w.isin(words)))
+    return F.when(n(ONLY_ES) > n(ONLY_EN), "es").otherwise("en")
+
+
+def content(words_: Column) -> Column:
+    """Words without those that vote for a language."""
+    return F.filter(words_, lambda w: ~w.isin(*VOTES_EN, *VOTES_ES) & (w != ""))
+
+
+def percent_path(path: Column) -> Column:
+    """Percent-encoded, with slashes kept; letters, digits and _.-~ stay."""
+    out = F.url_encode(path)
+    for a, b in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def human_size(n: Column, base: int = 1024) -> Column:
+    """A number of bytes with one decimal in the largest unit below it, up to TB."""
+    out = F.lit(None).cast("string")
+    for k, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))):
+        one = F.format_string(f"%.1f {unit}", n.cast("double") / float(base**k))
+        out = one if unit == "TB" else F.when(n < float(base ** (k + 1)), one).otherwise(out)
+    return out
+
+
+def blob_id(data: Column) -> Column:
+    """The id that git gives a file's bytes."""
+    head = F.encode(F.concat(F.lit("blob "), F.octet_length(data).cast("string")), "utf-8")
+    return F.sha1(F.concat(head, F.lit(b"\0"), data))
+
+
+def artifact_path(shelf: Column, file: Column) -> Column:
+    """Place below the root: forward slashes, none at the ends; a folder that is its own shelf stands once."""
+    plain = lambda c: F.trim(F.translate(F.coalesce(c, F.lit("")), "\\", "/"), F.lit("/"))
+    s, f = plain(shelf), plain(file)
+    return F.when((f == "") | (F.substring_index(s, "/", -1) == f), s).otherwise(F.concat(s, F.lit("/"), f))
+
+
+def row_title(library: Column, blurb: Column, id_: Column) -> Column:
+    """The library's title, else what stands before a colon in the blurb, else the id."""
+    return F.coalesce(F.nullif(library, F.lit("")), F.nullif(F.substring_index(blurb, ": ", 1), F.lit("")), id_)
+
+
+def split_reasoning(text: Column) -> tuple[Column, Column]:
+    """What stands before the first kind of closing mark that occurs (null without one), and the rest."""
+    before, after = F.lit(None).cast("string"), text
+    for mark in reversed(["</think>", "</thinking>", "<|end_of_thought|>"]):
+        has = text.contains(mark)
+        before = F.when(has, F.trim(F.substring_index(text, mark, 1))).otherwise(before)
+        after = F.when(has, F.trim(F.substring(text, F.locate(mark, text) + len(mark), F.length(text)))).otherwise(after)
+    return before, after
+
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits in lower case."""

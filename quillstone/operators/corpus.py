@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import content, folded, lang_votes
+
 RANK = ["green", "amber", "red", "grey"]
 
 
@@ -43,3 +48,103 @@ def covers(paths: DataFrame, roots: DataFrame) -> DataFrame:
     above = paths.join(roots.select("root", F.explode(up("root")).alias("path")), "path").where("path <> root")
     columns = [c for c in paths.columns if c != "path"]
     return below.select(*columns, "root").unionByName(above.select(*columns, "root"))
+
+
+# Endings and beginnings of names that a fetch leaves out; the exports go only where weights are.
+NO_ENDINGS, NO_PLACES, EXPORTS, COPIES = (".jpg", ".jpeg", ".png", ".gif"), ("imgs/", ".gitattributes"), ("onnx/",), (".bin", ".pt")
+
+
+def keep_names(files: DataFrame) -> DataFrame:
+    """Files (repo, name) that a fetch takes: no images, and no second copy of weights where a .safetensors is."""
+    name, low = F.col("name"), F.lower("name")
+    any_ = lambda *tests: reduce(or_, tests)
+    weights = files.where(name.endswith(".safetensors")).select("repo").distinct().withColumn("st", F.lit(True))
+    image = any_(*(low.endswith(x) for x in NO_ENDINGS), *(name.startswith(x) for x in NO_PLACES))
+    copy = F.coalesce("st", F.lit(False)) & any_(*(low.endswith(x) for x in COPIES), *(name.startswith(x) for x in EXPORTS))
+    return files.join(weights, "repo", "left").where(~image & ~copy).drop("st")
+
+
+def has_words(hay: Column, words: list[str]) -> Column:
+    """Whether a haystack in lower case holds every word."""
+    return F.forall(F.array(*map(F.lit, words)), lambda w: hay.contains(w)) if words else F.lit(True)
+
+
+def match_trees(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """path and state of each of my files (path, h): same, renamed (its hash stands elsewhere), missing or differs."""
+    at = theirs.select("path", F.col("h").alias("h_"), F.lit(True).alias("there"))
+    # one row for each hash: a common content isn't multiplied
+    found = theirs.groupBy("h").agg(F.min("path").alias("found"))
+    state = F.when(F.col("h_") == F.col("h"), "same").when(F.col("found").isNotNull(), "renamed").when(F.col("there").isNull(), "missing").otherwise("differs")
+    return mine.select("path", "h").join(at, "path", "left").join(found, "h", "left").select("path", state.alias("state"))
+
+
+def pin_state(pinned: Column, found: Column) -> Column:
+    return F.when(found.isNull(), "UNPINNED").when(pinned.isNull(), "PINNED").when(pinned == found, "CONFIRMED").otherwise("DISAGREES")
+
+
+def index_state(stamp: Column, now: Column) -> Column:
+    return F.when(stamp.isNull(), "missing").when(stamp != now, "stale").otherwise("current")
+
+
+def coverage(registry: DataFrame, stamp: DataFrame) -> DataFrame:
+    """total and covered chunks of the registry (file, chunks), files without a stamp (file, rows) and with another count."""
+    j = registry.join(stamp, "file", "left")
+    same = F.col("rows") == F.col("chunks")
+    return j.agg(F.sum("chunks").alias("total"), F.coalesce(F.sum(F.when(same, F.col("chunks"))), F.lit(0)).alias("covered"), F.count(F.when(F.col("rows").isNull(), 1)).alias("missing"), F.count(F.when(~same, 1)).alias("changed"))
+
+
+def verify_repair(before: DataFrame, after: DataFrame, key: str, fixed: list[str]) -> DataFrame:
+    """Rows whose fixed columns changed, whose text was repaired, and that stand on one side alone."""
+    new = after.select(key, F.lit(True).alias("there_"), *(F.col(c).alias(f"{c}_") for c in [*fixed, "text"]))
+    j = before.withColumn("here_", F.lit(True)).join(new, key, "full")
+    both = F.col("here_").isNotNull() & F.col("there_").isNotNull()
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"{c}_"))
+    changed = F.lit(False)
+    for c in fixed:
+        changed = changed | ~same(c)
+    return j.agg(F.count(F.when(both & changed, 1)).alias("changed"), F.count(F.when(both & ~same("text"), 1)).alias("repaired"), F.count(F.when(~both, 1)).alias("missing"))
+
+
+def calibrate(rows: DataFrame) -> DataFrame:
+    """Ratios of actual to predicted for each file: in total, their upper median, lowest and highest."""
+    r = rows.withColumn("ratio", F.col("actual") / F.col("predicted"))
+    w = Window.partitionBy("file").orderBy("ratio")
+    n = r.groupBy("file", "ratio").agg(F.count(F.lit(1)).alias("c"), F.sum("actual").alias("a"), F.sum("predicted").alias("p"))
+    n = n.withColumns({"upto": F.sum("c").over(w), "total_": F.sum("c").over(Window.partitionBy("file"))})
+    median = F.min(F.when(F.col("upto") > F.floor(F.col("total_") / 2), F.col("ratio")))
+    return n.groupBy("file").agg(F.round(F.sum("a") / F.sum("p"), 6).alias("total"), F.round(median, 6).alias("upper_median"), F.round(F.min("ratio"), 6).alias("lowest"), F.round(F.max("ratio"), 6).alias("highest"))
+
+
+# Endings by which a word may differ from a keyword.
+ENDINGS = ["s", "es", "ed", "d", "ing", "er", "ers"]
+
+
+def token_match(t: Column, k: Column) -> Column:
+    """Equal, or both of four letters or more and one is the other with a common ending."""
+    longer = lambda a, b: F.startswith(a, b) & F.substr(a, F.length(b) + 1).isin(ENDINGS)
+    return (t == k) | ((F.length(t) >= 4) & (F.length(k) >= 4) & (longer(t, k) | longer(k, t)))
+
+
+def suggest(rows: DataFrame, asked: DataFrame, most: int = 3, least: float = 2.0) -> DataFrame:
+    """query_id, id, score, place: rows (id, keywords, lang) that may answer a question (query_id, question), most each.
+
+    A phrase found whole counts 2, with all its words 1.5, a single word 1, each times the mean weight of its words and
+    1.25 in the question's language, else 0.85. Questions are broadcast: a handful that someone asks.
+    """
+    q = asked.select("query_id", folded(F.col("question")).alias("q"), lang_votes(F.col("question")).alias("ql"))
+    q = q.select("query_id", "q", "ql", content(F.split("q", " ")).alias("qt"))
+    key = rows.select("id", "lang", F.explode(F.array_distinct(F.transform("keywords", folded))).alias("k")).select("id", "lang", "k", content(F.split("k", " ")).alias("kt")).where(F.size("kt") > 0)
+    n = rows.agg(F.count(F.lit(1)).alias("N"))
+    df = key.select("id", F.explode("kt").alias("w")).distinct().groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    weighed = key.select("k", "kt").distinct().select("k", F.explode("kt").alias("w")).join(df, "w").crossJoin(F.broadcast(n)).groupBy("k").agg(F.avg(1 + F.log(F.col("N") / F.col("df"))).alias("weight"))
+    # distinct keywords meet the questions, then the rows that have them
+    hits = key.select("k", "kt").distinct().crossJoin(F.broadcast(q))
+    whole = F.concat(F.lit(" "), F.col("q"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("k"), F.lit(" ")))
+    every = F.forall("kt", lambda w: F.exists("qt", lambda t: token_match(t, w)))
+    phrase = F.col("k").contains(" ")
+    points = F.when(phrase & whole, 2.0).when(every, F.when(phrase, 1.5).otherwise(1.0))
+    hits = hits.select("query_id", "ql", "k", points.alias("points")).where("points is not null").join(weighed, "k")
+    scored = hits.join(key.select("id", "lang", "k"), "k").groupBy("query_id", "id", "lang", "ql").agg(F.sum(F.col("points") * F.col("weight")).alias("s"), F.count(F.lit(1)).alias("hits"))
+    scored = scored.select("query_id", "id", "hits", F.round(F.col("s") * F.when(F.col("lang") == F.col("ql"), 1.25).when(F.col("lang").isin("mul", ""), 1.1).otherwise(0.85), 2).alias("score")).where(F.col("score") >= least)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("hits"), "id")
+    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)

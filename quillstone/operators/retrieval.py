@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import vectors as vectors_
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -18,11 +20,8 @@ def normalised(v: Column) -> Column:
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, vec_id, score, rank by inner product, ties by vec_id. A stated query set is compared with all vectors."""
-    pairs = vectors.crossJoin(F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))))
-    scored = pairs.select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("q")), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """query_id, vec_id, score, rank by inner product, ties by vec_id. A stated query set is compared with all vectors, in blocks."""
+    return vectors_.topk(vectors, queries, k)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, c: int = 60) -> DataFrame:
@@ -38,3 +37,38 @@ def fuse(dense: DataFrame, sparse: DataFrame, c: int = 60) -> DataFrame:
 
 def agreement(in_both: Column) -> Column:
     return F.when(in_both == 0, "low").when(in_both <= 2, "weak").otherwise("good")
+
+
+OUTCOME = "query_id int, rank int, outcome string"
+
+
+def page(pool: DataFrame, n: int = 8) -> DataFrame:
+    """query_id, rank, outcome of each candidate of a bounded pool, walked by rank until n are kept.
+
+    pool: query_id, rank, src, dnum, text_key, reason (why it is excluded, or null), navigation. Outcomes: kept, the reason,
+    navigation, same_document, same_text, and beyond for what isn't walked. Only kept rows count as seen, so an earlier
+    duplicate doesn't hide its document's next passage; that is why this is a walk and not two windows.
+    """
+
+    def walk(rows):
+        seen_documents, seen_texts, out = set(), set(), []
+        rows = rows.sort_values("rank")
+        for r in rows.itertuples():
+            if len(seen_documents) >= n:
+                what = "beyond"
+            elif isinstance(r.reason, str):
+                what = r.reason
+            elif r.navigation:
+                what = "navigation"
+            elif (r.src, r.dnum) in seen_documents:
+                what = "same_document"
+            elif r.text_key in seen_texts:
+                what = "same_text"
+            else:
+                what = "kept"
+                seen_documents.add((r.src, r.dnum))
+                seen_texts.add(r.text_key)
+            out.append(what)
+        return rows[["query_id", "rank"]].assign(outcome=out)
+
+    return pool.select("query_id", "rank", "src", "dnum", "text_key", "reason", "navigation").groupBy("query_id").applyInPandas(walk, OUTCOME)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import lexical, quality, retrieval
+from ..operators import lexical, quality, retrieval, vectors
 from ..sources.tables import CHUNKS_SQL, chunks, table
 
 QUERIES: dict = {}
@@ -170,12 +171,12 @@ def histogram(spark, d):
     return _cover(spark, d).groupBy(F.least(F.floor(F.col("coverage") * 8), F.lit(7)).cast("int").alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-VEC_SQL = "s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id < 10), dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)"
+VEC_SQL = "s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0), dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)"
 
 
 def _dense(spark, d, k=10):
     v = table(spark, d, "embeddings")
-    return retrieval.exact_topk(v, v.where("vec_id < 10"), k)
+    return retrieval.exact_topk(v, v.where("vec_id % 20 = 0"), k)
 
 
 @query("V2_exact_topk", f"WITH {VEC_SQL} SELECT query_id, vec_id, score, rank FROM dn WHERE rank <= 10")
@@ -189,16 +190,21 @@ def normalise(spark, d):
     return n.select("vec_id", F.round(F.sqrt(retrieval.dot(F.col("e"), F.col("e"))), 6).alias("norm"))
 
 
-SPARSE_SQL = "sp AS (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(v.label - q.label), v.vec_id % 37, v.vec_id)::INT AS rank FROM embeddings v, embeddings q WHERE q.vec_id < 10)"
+SPARSE_SQL = "sp AS (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(v.label - q.label), v.vec_id % 37, v.vec_id)::INT AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0)"
 FUSED_SQL = f"""{VEC_SQL}, {SPARSE_SQL}, u AS (SELECT query_id, vec_id AS id, rank AS d, NULL::INT AS s FROM dn WHERE rank <= 40 UNION ALL SELECT query_id, vec_id, NULL, rank FROM sp WHERE rank <= 40),
 o AS (SELECT query_id, id, max(d) AS d, max(s) AS s FROM u GROUP BY 1, 2), f AS (SELECT *, round(coalesce(1.0::DOUBLE / (60 + d), 0) + coalesce(1.0::DOUBLE / (60 + s), 0), 9) AS score FROM o)"""
 
 
+def _far(q, rows):
+    """Minus the distance of labels, then of vec_id % 37: what the second list is ordered by."""
+    r = np.frombuffer(rows, "<f8").reshape(-1, 2)
+    return -(1000 * np.abs(q[:, None, 0] - r[None, :, 0]) + r[None, :, 1])
+
+
 def _lists(spark, d):
     v = table(spark, d, "embeddings")
-    pairs = v.crossJoin(F.broadcast(v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))))
-    w = Window.partitionBy("query_id").orderBy(F.abs(F.col("label") - F.col("ql")), F.col("vec_id") % 37, "vec_id")
-    sparse = pairs.withColumn("rank", F.row_number().over(w)).where("rank <= 40").select("query_id", F.col("vec_id").alias("id"), "rank")
+    labels = v.select("vec_id", F.array(F.col("label").cast("double"), (F.col("vec_id") % 37).cast("double")).alias("embedding"))
+    sparse = vectors.topk(labels, labels.where("vec_id % 20 = 0"), 40, _far).select("query_id", F.col("vec_id").alias("id"), "rank")
     return _dense(spark, d, 40).select("query_id", F.col("vec_id").alias("id"), "rank"), sparse
 
 
@@ -333,12 +339,12 @@ def keyword_idf(spark, d):
     return idf(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.split(F.lower("p_type"), " ").alias("words")))
 
 
-@query("J7_prefix_cover", "WITH u AS (SELECT page_id, regexp_replace(url, '^https?://([^?#]*).*$', '\\1') AS path FROM pages), r AS (SELECT DISTINCT string_split(path, '/')[1] || '/' || string_split(path, '/')[2] AS root FROM u WHERE page_id % 9 = 0) SELECT page_id, root FROM u JOIN r ON path = root OR starts_with(path, root || '/') OR starts_with(root, path || '/')")
+@query("J7_prefix_cover", "WITH u AS (SELECT page_id, regexp_replace(url, '^https?://([^?#]*).*$', '\\1') AS path FROM pages), r AS (SELECT DISTINCT string_split(path, '/')[1] || '/' || string_split(path, '/')[2] AS root FROM u WHERE true) SELECT page_id, root FROM u JOIN r ON path = root OR starts_with(path, root || '/') OR starts_with(root, path || '/')")
 def prefix_cover(spark, d):
     from ..operators.corpus import covers
 
     u = table(spark, d, "pages").select("page_id", F.regexp_replace("url", r"^https?://([^?#]*).*$", "$1").alias("path"))
-    r = u.where("page_id % 9 = 0").select(F.concat_ws("/", F.split("path", "/")[0], F.coalesce(F.get(F.split("path", "/"), F.lit(1)), F.lit(None))).alias("root")).distinct()
+    r = u.select(F.concat_ws("/", F.split("path", "/")[0], F.coalesce(F.get(F.split("path", "/"), F.lit(1)), F.lit(None))).alias("root")).distinct()
     return covers(u, r)
 
 

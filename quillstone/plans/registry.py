@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import answers as _answers  # noqa: F401, registers its queries
+from . import library as _library  # noqa: F401
 from . import queries as _queries
 
 

@@ -1,11 +1,13 @@
 """Every query with a DuckDB twin against it, and the operators on constructed cases."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone.functions import figures
 from quillstone.functions import text as T
-from quillstone.operators import chunking, html, quality, retrieval
+from quillstone.operators import chunking, corpus, html, places, quality, retrieval, safety, vectors
 from quillstone.plans import registry
 from quillstone.sources import tables
 
@@ -47,8 +49,26 @@ def test_windows():
 
 
 def test_html():
+    # a tag parts words, entities are decoded twice, a run of prose is one line
     text, title = html.plain("<title>A &amp;amp; b</title><script>x()</script><p>One<b>two</b> [12]</p><div>&lt;3<footer>gone")
-    assert title == "A & b" and text == "Onetwo\n<3"
+    assert title == "A & b" and text == "A & b One two <3"
+    assert html.plain("") == ("", "")
+
+
+def test_html_tables():
+    pairs = "<p>x</p><table><caption>Doses</caption><tr><th>Age</th><th>mg</th></tr><tr><td>1</td><td>5</td></tr><tr><td>2</td></tr></table>after"
+    assert html.plain(pairs)[0] == "x\nTable (Doses). Age: mg. 1: 5. 2.\nafter"
+    wide = "<table><tr><th>a<th>b<th>c<tr><td>1<td>2<td>3</table>"
+    assert html.plain(wide)[0] == "Table:\n| a | b | c |\n|---|---|---|\n| 1 | 2 | 3 |"
+    assert html.plain(f"<table><tr><td>{wide}</td></tr></table> t")[0] == "a b c 1 2 3\nt"  # a table that holds a table is layout
+    assert html.plain("<table><tr><td>one</td></tr></table>")[0] == "one"
+    cells = [["h", "i", "j"]] + [["", "", "x"]] * 60
+    assert html.render(cells, True) is None and html.render([["a"] * 13] * 2, False) is None and html.render([["a" * 401, "b"]] * 2, False) is None
+
+
+def test_html_furniture():
+    page = "<div class='x navbox'><div>q</div>r</div>z<!-- htdig_noindex -->no<!-- /htdig_noindex --> <ol class=references><li>s</ol> end <div id=catlinks>open"
+    assert html.plain(page)[0] == "z end" and html.plain(page, strip=False)[0] == "q r zno s end open"
 
 
 def test_filter_reasons(spark):
@@ -86,3 +106,66 @@ def test_readers(spark, tmp_path):
     assert [r[0] for r in tables.read_scope(spark, str(tmp_path / "scope")).collect()] == ["one", "two"]
     a, b = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), spark.createDataFrame([(2, "c")], "id int, v string")
     assert sorted(map(tuple, tables.upsert(a, b, "id").collect())) == [(1, "a"), (2, "c")]
+
+
+def test_findings():
+    kinds = lambda t: [(f.text, f.category, f.tier) for f in figures.scan(t)]
+    assert kinds("500 mg/kg every 8 hours") == [("500 mg/kg", "dose", "hard"), ("every 8 hours", "dose", "hard")]
+    assert kinds("2 tablets") == [] and kinds("a dose of 2 tablets") == [("2 tablets", "dose", "lifted")]
+    assert kinds("11 pounds of it") == [] and kinds("11 pounds pressure") == [("11 pounds", "pressure", "lifted")]
+    assert kinds("in standard 5 V mistake") == []  # words in words are none
+    assert kinds("an LM317T regulator, COVID19 model") == [("LM317T", "part_number", "soft")]
+    assert kinds("smiles inchi kegg 5 mg") == [] and kinds(None) == kinds("") == []
+    for t in ["5 mg/kg mg 12 V battery 10 to 15 PSI every 6 hours", "é" * 50 + " 3 ml dose " + "x" * 10_000]:
+        spans = [(f.start, f.end) for f in figures.scan(t)]
+        assert spans and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert figures.assess("none", "what dose for a child")[0] == "possible" and figures.assess("5 mg")[0] == "present" and figures.assess(None)[0] == "none"
+
+
+def test_compare():
+    assert figures.compare("10 mg per kilogram of body weight", "around 10 mg/kg per dose") == "agree"
+    assert figures.compare("500 mg every 8 hours", "250 mg every 8 hours") == "disagree"
+    absent, mark = "NOT IN ARCHIVE", "UNSOURCED - NOT FROM THE ARCHIVE"
+    assert figures.compare(absent, absent) == "both_unsupported" and figures.compare(absent, "yes") == "disagree"
+    assert figures.compare(f"{absent}\n{mark} 5 mg", absent) == "one_declined"
+    assert [figures.compare(f"{absent} {mark} {a}", f"{absent} {mark} {b}") for a, b in (("5 mg", "5 mg"), ("5 mg", "6 mg"), ("a", "b"))] == ["agree_unsourced", "disagree_unsourced", "no_basis_unsourced"]
+    assert figures.compare("", "") == figures.compare(None, "word") == "no_basis" and figures.compare("green apples fall", "apples fall green today") == "agree"
+
+
+def test_safety_tables(spark):
+    rows = spark.createDataFrame([(1, "a", "5 mg and 6 mg"), (2, "a", None), (3, "b", "")], "id long, source string, text string")
+    found = safety.findings(rows, "id")
+    assert sorted(r["term"] for r in found.collect()) == ["5 mg", "6 mg"]
+    assert sorted(map(tuple, safety.rates(found, rows, "id", "source").collect()), key=repr) == [("a", "dose", 1, 0.5), ("b", None, 0, 0.0)]
+
+
+def test_page_walk(spark):
+    # 3 repeats 1's text, so 4 of the same document still stands; 5 repeats 1's document
+    rows = [(0, 1, 1, 1, "x", None, False), (0, 2, 1, 2, "y", "mirror", False), (0, 3, 1, 3, "x", None, False), (0, 4, 1, 3, "z", None, False), (0, 5, 1, 1, "w", None, False), (0, 6, 1, 6, "n", None, True), (0, 7, 1, 7, "v", None, False), (0, 8, 1, 8, "u", None, False)]
+    pool = spark.createDataFrame(rows, "query_id int, rank int, src int, dnum int, text_key string, reason string, navigation boolean")
+    got = [r["outcome"] for r in retrieval.page(pool, 3).orderBy("rank").collect()]
+    assert got == ["kept", "mirror", "same_text", "kept", "same_document", "navigation", "kept", "beyond"]
+
+
+def test_search_by_codes(spark, sf):
+    v = tables.table(spark, sf, "embeddings")
+    q = v.where("vec_id % 20 = 0")
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in v.collect()}
+    exact = {(r["query_id"], r["vec_id"]) for r in retrieval.exact_topk(v, q, 10).collect()}
+    for i in (0, 20):
+        assert {b for a, b in exact if a == i} == set(sorted(rows, key=lambda j: (-round(float(rows[i] @ rows[j]), 6), j))[:10])
+    got = {(r["query_id"], r["vec_id"]) for r in vectors.pq_search(v, q, 10).collect()}
+    assert len(got & exact) >= 0.9 * len(exact)
+    none = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
+    assert vectors.topk(none, none, 3).count() == 0
+
+
+def test_places_and_suggestions(spark):
+    at = spark.createDataFrame([(1, 0.0, 179.9), (2, 50.0, 0.0)], "s int, lat double, lon double")
+    named = spark.createDataFrame([(7, 0.1, -179.9), (8, 51.0, 0.0), (9, 50.1, 0.1)], "k int, lat double, lon double")
+    assert sorted((r["s"], r["k"]) for r in places.within(at, named, 30.0).collect()) == [(1, 7), (2, 9)]
+    rows = spark.createDataFrame([(1, ["first aid"], "en"), (2, ["burn", "aid"], "en"), (3, ["quemadura"], "es"), (4, ["who was"], "en")], "id int, keywords array<string>, lang string")
+    asked = spark.createDataFrame([(0, "first aid for burns"), (1, "who was it")], "query_id int, question string")
+    got = corpus.suggest(rows, asked).collect()
+    # equal scores: the row that matched more keywords is first
+    assert [(r["query_id"], r["id"]) for r in sorted(got, key=lambda r: r["place"])] == [(0, 2), (0, 1)]
