@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, Words, arrow_texts, grams, mix, shared_dir, shuffle_parts, slices, staged, table
+from .tok import release
 
 HALF, SIDE = 3, 16
 #: Classes of one A member beyond which they are dealt out by whole table keys.
@@ -80,6 +81,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n (set size), cls (the set's sum), a and b: members of both collections."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, j in slices(batch.column("text")):
@@ -238,6 +240,7 @@ def exact_components(members_: DataFrame, where: str, k: int, num: int, den: int
     small = members_.join(large, "root", "left_anti")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         root, cls, texts = None, [], []
 
         def done() -> pa.RecordBatch:

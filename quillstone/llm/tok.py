@@ -25,6 +25,14 @@ _SPACE = regex.compile(r"\s+")
 _OPEN: dict[str, "Encoder"] = {}
 
 
+def release() -> None:
+    """Drop this worker's encoders and their caches.
+
+    Workers are reused by later jobs of a session; operators that need their memory for something else call this first.
+    """
+    _OPEN.clear()
+
+
 def split(text: str) -> list[str]:
     """Parts between white space; the separators 1C to 1F, which str.split takes for such, are none."""
     return text.split() if not _CONTROL.search(text) else [x for x in _SPACE.split(text) if x]
