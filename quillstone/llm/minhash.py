@@ -8,7 +8,8 @@ At the least similarity 0.8 a pair is missed with a chance below 2 * (1 - 0.8**3
    are one class from here on, so thousands of copies weigh as one.
 2. A class looks up its A members; those that no other class has are dropped before the pairs are formed.
 3. Classes that share a table key are joined by a forest over their A member's classes (no pairs within a
-   key), and components of this graph hold every link that the tables can find.
+   key); its edges are contracted to about one a class, and components of this graph hold every link that the
+   tables can find.
 4. In each such component links are found exactly, on full sets: a search from class to class compares the
    class at hand, through an inverted index, with those that aren't reached yet; it ends once all are reached.
    Components of more than LARGE shingles are searched in rounds over the cluster, HUBS classes at a time.
@@ -176,7 +177,20 @@ def candidate_edges(classes: DataFrame, where: str, hot: int = HOT) -> DataFrame
     if shared.where(F.col("c") > hot).limit(1).count():
         keys = rows.where(F.col("c") > hot).select("cls", "x", F.explode("b").alias("y")).select("cls", F.xxhash64("x", "y").alias("key"))
         out = out.union(keys.repartition(parts, "key").sortWithinPartitions("key", "cls").mapInArrow(stars, "u long, v long"))
-    return out.distinct()
+    return contracted(out)
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges (u, v) with the same components: u keeps its least v, and this v takes u's other ones.
+
+    A u has SIDE edges at most, SIDE * SIDE more if it was dealt out by whole keys. The v are few hubs, so edges
+    from hub to hub repeat, and about one edge a class is left for the rounds to come.
+    """
+    near = edges.groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("v"))
+    least = F.col("v")[0]
+    pair = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
+    both = F.transform("v", lambda x, i: F.when(i == 0, pair(F.col("u"), x)).otherwise(pair(least, x)))
+    return near.select(F.explode(both).alias("e")).select("e.u", "e.v").distinct()
 
 
 def components(edges: DataFrame, where: str) -> DataFrame:
