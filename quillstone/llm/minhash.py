@@ -196,19 +196,35 @@ def contracted(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, where: str) -> DataFrame:
     """node, root (the least node of its component) for each node of an edge.
 
-    Least labels go along edges, then labels jump to their own label's; a written table ends each round.
+    In each round every node joins its least neighbour (of two that chose each other the less stays), labels jump
+    to their own label's until none moves, and the edges are contracted to the groups, named by their least nodes.
+    A node with an edge is never alone in its group, so nodes halve at least and rounds are logarithmic in them.
     """
-    spark = edges.sparkSession
-    both = staged(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), f"{where}/edges")
-    labels = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")), f"{where}/labels0")
-    for n in range(1, 100):
-        near = both.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        low = labels.join(near, "u").select("u", F.col("l").alias("old"), F.least("l", "m").alias("l"))
-        jump = labels.select(F.col("u").alias("l"), F.col("l").alias("j"))
-        labels = staged(low.join(jump, "l", "left").select("u", "old", F.least("l", F.coalesce("j", "l")).alias("l")), f"{where}/labels{n}")
-        if labels.where("l <> old").limit(1).count() == 0:
-            break
-        labels = labels.select("u", "l")
+    both = staged(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), f"{where}/edges")
+    rounds: list[DataFrame] = []
+    while both.limit(1).count():
+        n = len(rounds)
+        if n > 64:  # beyond log2 of any count of nodes
+            raise RuntimeError("components don't come to an end")
+        to = staged(both.groupBy("u").agg(F.min("v").alias("l")), f"{where}/near{n}")
+        over = lambda t: t.select(F.col("u").alias("l"), F.col("l").alias("j"))
+        stays = (F.col("j") == F.col("u")) & (F.col("u") < F.col("l"))
+        to = staged(to.join(over(to), "l").select("u", F.when(stays, F.col("u")).otherwise(F.col("l")).alias("l")), f"{where}/hooks{n}")
+        jumps = 0
+        while True:
+            moved = staged(to.join(over(to), "l").select("u", F.col("j").alias("l"), (F.col("j") != F.col("l")).alias("moved")), f"{where}/jumps{n}_{jumps}")
+            to, jumps = moved.select("u", "l"), jumps + 1
+            if moved.where("moved").limit(1).count() == 0:
+                break
+        to = staged(to.join(to.groupBy("l").agg(F.min("u").alias("m")), "l").select("u", F.col("m").alias("l")), f"{where}/labels{n}")
+        rounds.append(to)
+        ends = both.join(to, "u").select("v", F.col("l").alias("a")).join(to.select(F.col("u").alias("v"), F.col("l").alias("b")), "v")
+        both = staged(ends.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), f"{where}/edges{n}")
+    # from the last round back: a group's label is its group's in the next round, if it had an edge there
+    labels = None
+    for n, to in reversed(list(enumerate(rounds))):
+        labels = to if labels is None else staged(to.join(labels.select(F.col("u").alias("l"), F.col("l").alias("j")), "l", "left").select("u", F.coalesce("j", "l").alias("l")), f"{where}/roots{n}")
+    labels = both.select("u", F.col("v").alias("l")) if labels is None else labels  # no edges
     return labels.select(F.col("u").alias("node"), F.col("l").alias("root"))
 
 

@@ -234,6 +234,15 @@ def test_op5_forests(spark):
         assert all(roots.get(i, i) == want[i] for i in range(200))
 
 
+def test_op5_long_chain(spark):
+    # 1 takes all but one node at once, then 0 is at the far end of its group
+    at = [0, *range(301, 2, -1), 1]
+    e = spark.createDataFrame(list(zip(at[1:], at[:-1], strict=True)), "u long, v long")
+    roots = {r["node"]: r["root"] for r in minhash.components(e, shared_dir(spark)).collect()}
+    assert roots == dict.fromkeys(at, 0)
+    assert minhash.components(e.limit(0), shared_dir(spark)).count() == 0
+
+
 def brute_groups(n, edges):
     up = list(range(n))
 
