@@ -2,9 +2,11 @@
 
 Only lengths matter for a packing, and there are at most as many as tokens in a sequence. So the driver gets
 the histogram of lengths (capacity rows at most, at any size of the corpus) and fills bins around the largest
-remaining length: a branch and bound enumerates undominated fillings of what it leaves, prunes those that
-cannot beat the best waste so far, and a filling is repeated as long as its lengths last. Best-fit decreasing
-over the same histogram is the first incumbent; the plan with fewer sequences is kept.
+remaining length: a depth-first branch and bound goes from the fullest to the emptier of the KEEP fullest
+undominated fillings of what it leaves, each repeated as long as its lengths last, then once; it turns back where
+the waste so far leaves no plan with fewer sequences than the best. Best-fit decreasing over the same histogram is
+the first incumbent. Where that isn't at the lower bound, the search ends at the bound, when all is tried, or STEPS
+fillings after its first dead end; in the last case the best plan so far is used, which need not be the least.
 
 The plan lists, for each length, runs of ranks and where they go. A document's rank among those of its length
 comes from counts for each task and length, so no length, however common, is gathered in one task.
@@ -16,7 +18,7 @@ an empty table gives no rows; documents longer than a sequence are cut into whol
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,8 @@ from .common import shared_dir, slices, staged, table
 from .tok import encoder
 
 CAPACITY = 4096
-#: Nodes of the search for one filling, and alternatives that the outer search tries in all.
-NODES, RETRIES = 400, 200
+#: Nodes of the search for one filling, fillings that the outer search branches over, and its length after the first dead end.
+NODES, KEEP, STEPS = 400, 24, 5000
 
 
 def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -85,8 +87,8 @@ def fillings(room: int, lengths: list[int], counts: dict[int, int], keep: int, n
         nonlocal budget
         k = bisect_right(lengths, left, 0, top)
         if k == 0 or left == 0:
-            # maximal in the lengths below top; those above were passed over on purpose and must not fit either
-            if not any(length <= left and counts[length] > dict(chosen).get(length, 0) for length in lengths[k : k + 1]):
+            used = dict(chosen)
+            if not any(counts[length] > used.get(length, 0) for length in lengths[: bisect_right(lengths, left)]):
                 best.append((total, tuple(chosen)))
                 best.sort(key=lambda x: -x[0])
                 del best[keep:]
@@ -99,7 +101,7 @@ def fillings(room: int, lengths: list[int], counts: dict[int, int], keep: int, n
             most = min(counts[length], left // length)
             if len(best) == keep and total + left <= best[-1][0]:
                 return False
-            for n in range(most, 0, -1) if left - most * length < lengths[0] or i == 0 else (most, max(1, most - 1))[: 1 + (most > 1)]:
+            for n in range(most, 0, -1) if keep > 1 or left - most * length < lengths[0] or i == 0 else (most, max(1, most - 1))[: 1 + (most > 1)]:
                 chosen.append((length, n))
                 if grow(left - n * length, i, total + n * length, chosen):
                     return True
@@ -110,43 +112,62 @@ def fillings(room: int, lengths: list[int], counts: dict[int, int], keep: int, n
     return best or [(0, ())]
 
 
-def plan(hist: dict[int, int], capacity: int = CAPACITY, retries: int = RETRIES) -> list[tuple[int, list[tuple[int, int]]]]:
+def plan(hist: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[int, list[tuple[int, int]]]]:
     """Patterns of a packing of hist (length: how many)."""
     incumbent = best_fit(hist, capacity)
-    least = -(-sum(a * n for a, n in hist.items()) // capacity)
-    most = sum(n for n, _ in incumbent)
-    if most == least:
-        return incumbent
-    allowed = most * capacity - sum(a * n for a, n in hist.items())  # waste of the incumbent
-    for attempt in range(max(1, retries)):
-        counts, lengths = dict(hist), sorted(hist)
-        made: list[tuple[int, list[tuple[int, int]]]] = []
-        bins = waste = 0
-        while lengths:
-            top = lengths[-1]
-            counts[top] -= 1
-            own = lengths if counts[top] else lengths[:-1]
-            keep = 1 if attempt == 0 else 2
-            got = fillings(capacity - top, own, counts, keep)
-            total, pattern = got[-1] if attempt and (len(made) * 2654435761 + attempt) % 997 == 0 else got[0]
-            counts[top] += 1
-            need = dict(pattern)
-            need[top] = need.get(top, 0) + 1
-            times = min(counts[a] // n for a, n in need.items())
-            for a, n in need.items():
-                counts[a] -= n * times
-            lengths = [a for a in lengths if counts[a]] if any(not counts[a] for a in need) else lengths
-            made.append((times, sorted(need.items(), reverse=True)))
-            bins += times
-            if lengths:
-                waste += times * (capacity - top - total)
-            if waste >= allowed + capacity:  # no better than the incumbent
-                break
-        if not lengths and bins < most:
-            incumbent, most = made, bins
-            allowed = most * capacity - sum(a * n for a, n in hist.items())
-        if most == least or len(hist) * attempt > 2000:
+    left = sum(a * n for a, n in hist.items())
+    least, most, bins = -(-left // capacity), sum(n for n, _ in incumbent), 0
+    counts, lengths = dict(hist), sorted(hist)
+    made: list[tuple[int, dict[int, int]]] = []
+    others: list[list[tuple[int, dict[int, int]]] | None] = []  # what is still to try at each place, None before it is known
+
+    def choices(keep: int) -> list[tuple[int, dict[int, int]]]:
+        top = lengths[-1]
+        counts[top] -= 1
+        got = fillings(capacity - top, lengths if counts[top] else lengths[:-1], counts, keep)
+        counts[top] += 1
+        needs = [{**dict(p), top: dict(p).get(top, 0) + 1} for _, p in got]
+        full = [(min(counts[a] // n for a, n in need.items()), need) for need in needs]
+        return full + [(1, need) for times, need in full if times > 1 and keep > 1]
+
+    def move(times: int, need: dict[int, int]) -> None:
+        """Take a pattern so many times, or give it back if times is negative."""
+        nonlocal left, bins
+        bins += times
+        for a, n in need.items():
+            before = counts[a]
+            counts[a] -= n * times
+            left -= a * n * times
+            if not counts[a]:
+                lengths.pop(bisect_right(lengths, a) - 1)
+            elif not before:
+                insort(lengths, a)
+
+    down, dead = True, False
+    while most > least and steps > 0:
+        steps -= dead
+        if down and lengths and bins + -(-left // capacity) < most:
+            made.append(choices(1)[0])
+            others.append(None)
+            move(*made[-1])
+            continue
+        if down and not lengths and bins < most:
+            incumbent, most = [(times, sorted(need.items(), reverse=True)) for times, need in made], bins
+        down, dead = False, True
+        if not made:
             break
+        tried = made.pop()
+        move(-tried[0], tried[1])
+        rest = others.pop()
+        if rest is None:
+            rest = [c for c in choices(KEEP) if c != tried][::-1]
+        while rest and not down:
+            times, need = rest.pop()
+            if bins + times + -(-(left - times * sum(a * n for a, n in need.items())) // capacity) < most:
+                made.append((times, need))
+                others.append(rest)
+                move(times, need)
+                down = True
     return incumbent
 
 

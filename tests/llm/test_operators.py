@@ -395,6 +395,17 @@ def test_op9_plans():
     assert sum(t for t, _ in packing.plan(Counter({44: 2, 24: 2, 22: 2, 21: 2, 17: 4, 8: 2, 6: 2}), 100)) <= 3 + 1 and packing.plan(hist, 10)
 
 
+@pytest.mark.parametrize(
+    ("capacity", "lengths", "least"),
+    [(4096, [1781, 1695, 1679, 1628, 1583, 1556, 1287, 1211, 1019, 975, 535, 492, 468], 4), (4096, [1981, 1805, 1190, 1103, 938, 928, 928, 890, 667, 622, 574, 495], 3), (100, [50, 41, 40, 39, 34, 34, 34, 34, 31, 21, 16, 14, 10], 4)],
+)
+def test_op9_backtracks(capacity, lengths, least):
+    # the fullest filling of each largest length needs one bin more
+    plan = packing.plan(Counter(lengths), capacity)
+    assert sum(t for t, _ in plan) == least
+    assert Counter(a for t, p in plan for a, k in p for _ in range(t * k)) == Counter(lengths) and all(sum(a * k for a, k in p) <= capacity for _, p in plan)
+
+
 def test_op10_scores(spark, docs, none, by_id):
     held = {i for i in by_id if zlib.crc32(str(i).encode()) % 7 == 2}
     train = docs.where(~F.col("doc_id").isin(held)).select("doc_id", "text")
