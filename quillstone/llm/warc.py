@@ -5,8 +5,10 @@ into a first record and continuation records that carry the origin's id and a se
 one carries the total length. Rows that share a payload are one response (largest page_id) and revisits.
 
 Nulls and edges: a null html is an empty payload; a null url is written as "urn:page:<page_id>"; empty
-tables give no records; repeated rows (same page_id) are a ValueError on reading, since ids must be unique
-in an archive. Extra columns are ignored.
+tables give no records. Each row has a record of its own: where a page_id is null or occurs again, the record's id
+goes on with the digest, the url's SHA-1 and a number among equal rows. Rows that share the largest page_id of their
+payload are a response each. A row without page_id is written as a revisit of a page with its payload, or else as a
+response; the query gives both as revisits that refer to no page, as its SQL does. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, staged, table
@@ -67,10 +69,11 @@ def record(kind: str, rid: str, block: bytes, **headers: str) -> bytes:
     return "WARC/1.1\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block
 
 
-def page_records(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None, segment: int = SEGMENT) -> list[bytes]:
-    rid, base = f"urn:page:{page_id}", {"WARC_Target_URI": re.sub(r"[\s\x00-\x20]", "%20", url or f"urn:page:{page_id}"), "WARC_Payload_Digest": f"sha1:{digest}"}
+def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, rid: str, refers_to: str | None, segment: int = SEGMENT) -> list[bytes]:
+    """A page's records. rid, refers_to: ids of its own record and of the response that it revisits."""
+    base = {"WARC_Target_URI": re.sub(r"[\s\x00-\x20]", "%20", url or (rid if page_id is None else f"urn:page:{page_id}")), "WARC_Payload_Digest": f"sha1:{digest}"}
     if refers_to is not None:
-        return [record("revisit", rid, HTTP, **base, WARC_Refers_To=f"<urn:page:{refers_to}>", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", Content_Type="application/http; msgtype=response")]
+        return [record("revisit", rid, HTTP, **base, WARC_Refers_To=f"<{refers_to}>", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", Content_Type="application/http; msgtype=response")]
     block = HTTP + frame(payload)
     if len(block) <= segment:
         return [record("response", rid, block, **base, Content_Type="application/http; msgtype=response")]
@@ -101,13 +104,29 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def dedup_plan(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest, refers_to: the last names the largest page_id with the same payload, null there.
+    """page_id, url, html, digest, rid, refers_to: the last is the record id of the largest page_id with the same payload, null there.
 
-    The largest id of a payload is pre-aggregated, so a payload that many pages share is one row to join.
+    The largest id of a payload is pre-aggregated, so a payload that many pages share is one row to join. Rows of
+    page_ids that occur again or are null are counted before they meet, so equal ones are one row until they are written.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
-    best = rows.groupBy("digest").agg(F.max("page_id").alias("best_id"))
-    return rows.join(best, "digest").select("page_id", "url", "html", "digest", F.when(F.col("page_id") < F.col("best_id"), F.col("best_id")).alias("refers_to"))
+    again = pages.groupBy("page_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or page_id is null").select("page_id", F.lit(True).alias("again"))
+    if not again.limit(1).count():
+        best = rows.groupBy("digest").agg(F.max("page_id").alias("best_id"))
+        name = lambda c: F.concat(F.lit("urn:page:"), c)
+        return rows.join(best, "digest").select("page_id", "url", "html", "digest", name("page_id").alias("rid"), F.when(F.col("page_id") < F.col("best_id"), name("best_id")).alias("refers_to"))
+    rows = rows.withColumn("url", F.coalesce("url", F.lit(""))).join(again, "page_id", "left").withColumn("again", F.coalesce("again", F.col("page_id").isNull()))
+    counted = rows.where("again").groupBy("page_id", "url", "digest", "again").agg(F.first("html").alias("html"), F.count(F.lit(1)).alias("n"))
+    rows = rows.where("not again").withColumn("n", F.lit(1).cast("long")).unionByName(counted)
+    best = rows.groupBy("digest").agg(F.max(F.struct("page_id", "url", "again")).alias("best"))
+    rows = rows.join(best, "digest").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+
+    def named(of: str, nth) -> Column:
+        tail = F.concat(F.lit(":"), "digest", F.lit(":"), F.sha1(F.col(f"{of}url")), F.lit(":"), nth)
+        return F.concat(F.lit("urn:page:"), F.coalesce(F.col(f"{of}page_id").cast("string"), F.lit("")), F.when(F.col(f"{of}again"), tail).otherwise(""))
+
+    visit = F.col("best.page_id").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("best.page_id")))
+    return rows.select("page_id", "url", "html", "digest", named("", F.col("nth")).alias("rid"), F.when(visit, named("best.", F.lit(1))).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, where: str, segment: int = SEGMENT) -> None:
@@ -116,8 +135,8 @@ def write_archives(pages: DataFrame, where: str, segment: int = SEGMENT) -> None
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, size = [], 0
-            for r in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
-                for x in page_records(r[0], r[1], (r[2] or "").encode(), r[3], r[4], segment):
+            for r in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "rid", "refers_to")), strict=True):
+                for x in page_records(r[0], r[1], (r[2] or "").encode(), r[3], r[4], r[5], segment):
                     out.append(x)
                     size += len(x)
                 if size > 4 << 20:
@@ -205,12 +224,14 @@ def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archives(dedup_plan(table(spark, sf_dir, "pages")), f"{where}/warc")
     # the archives are parsed once: what later steps need of each record is small but for the blocks of responses
     records = read_records(spark, f"{where}/warc")
-    page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)", 1).cast("long")
-    full = staged(decode(reassemble(records)).select(page("rid").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "n_segments"), f"{where}/responses")
-    visits = records.where("kind = 'revisit'").select(page("rid").alias("page_id"), page("refers_to").alias("refers_to"), F.col("digest").alias("payload_digest"))
-    of = full.select(F.col("page_id").alias("refers_to"), "payload_bytes", F.col("payload_digest").alias("full_digest"))
-    seen = visits.join(of, "refers_to", "left").select("page_id", "payload_bytes", F.coalesce("full_digest", "payload_digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to")
-    return full.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(seen)
+    page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)", 1).try_cast("long")
+    full = staged(decode(reassemble(records)).select("rid", page("rid").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "n_segments"), f"{where}/responses")
+    visits = records.where("kind = 'revisit'").select(page("rid").alias("page_id"), F.col("refers_to").alias("of"), F.col("digest").alias("payload_digest"))
+    of = full.select(F.col("rid").alias("of"), "payload_bytes", F.col("payload_digest").alias("full_digest"))
+    refers_to = F.when(F.col("page_id").isNotNull(), page("of")).alias("refers_to")
+    seen = visits.join(of, "of", "left").select("page_id", "payload_bytes", F.coalesce("full_digest", "payload_digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), refers_to)
+    kind = F.when(F.col("page_id").isNull(), "revisit").otherwise("response").alias("record_type")
+    return full.select("page_id", "payload_bytes", "payload_digest", kind, F.lit(None).cast("long").alias("refers_to")).unionByName(seen)
 
 
 _CHARS = " || ".join(f"substr('{BASE32}', (('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {s} & 31)::BIGINT + 1, 1)" for i in range(8) for s in (15, 10, 5, 0))

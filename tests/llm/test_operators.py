@@ -190,6 +190,24 @@ def test_op4_archives(spark):
         warc.reassemble(lost).collect()
 
 
+def test_op4_repeats_and_nulls(spark, tmp_path):
+    import duckdb
+
+    large, other = "x" * 50_000, "y" * 40_000
+    rows = [(5, "a", large), (5, "a", large), (5, "b", large), (5, "a", other), (3, "c", large), (3, "c", large), (None, "d", large), (None, None, "alone" * 9000), (None, None, "alone" * 9000), (7, "e", "s"), (7, "e", "s"), (8, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({warc.SQL['op4_warc_segments']})").fetchall()
+    assert len(want) == len(rows)
+    assert Counter(tuple(r) for r in warc.op4_warc_segments(spark, str(tmp_path)).select(columns).collect()) == Counter(want)
+    where = shared_dir(spark)
+    warc.write_archives(warc.dedup_plan(spark.createDataFrame(rows, "page_id long, url string, html string")), where)
+    ids = [r["rid"] for r in warc.read_records(spark, where).collect()]
+    assert len(ids) == len(set(ids))
+
+
 def brute_components(by_id, k):
     sets = {i: frozenset(tuple(w[p : p + k]) for p in range(max(1, len(w) - k + 1))) if (w := words(t, True)) else frozenset() for i, t in by_id.items()}
     up = {i: i for i in sets}
