@@ -33,12 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share; a local one only where none is set."""
+    """A new folder below the one that all executors share; where none is set, a local one in local mode alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="quillstone-")
@@ -92,6 +94,18 @@ def slices(texts: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]
         yield a, len(sizes)
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hash of each span of bytes, the same wherever it stands."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    n = len(data)
+    h = (_BYTE_LOWER if lower else _BYTE)[data]
+    h *= _powers("r", n)
+    np.cumsum(h, out=h)
+    before = np.where(start > 0, h[start - 1], np.uint64(0))
+    return mix((h[end - 1] - before) * _powers("i", n)[start] + (end - start).astype(np.uint64) * _GRAM[63])
+
+
 class Words:
     """The words of several texts in one buffer.
 
@@ -110,13 +124,7 @@ class Words:
         self.first = np.searchsorted(self.start, bounds)
         self.bounds = bounds
         if hashes:
-            n = len(data)
-            h = (_BYTE_LOWER if lower else _BYTE)[data]
-            h *= _powers("r", n)
-            np.cumsum(h, out=h)
-            before = np.where(self.start > 0, h[self.start - 1], np.uint64(0)) if len(self.start) else np.zeros(0, np.uint64)
-            got = (h[self.end - 1] - before) * _powers("i", n)[self.start] if len(self.start) else before
-            self.hash = mix(got + (self.end - self.start).astype(np.uint64) * _GRAM[63])
+            self.hash = span_hashes(data, self.start, self.end, lower)
 
     def __len__(self) -> int:
         return len(self.first) - 1

@@ -200,15 +200,19 @@ def encode_documents(docs: DataFrame, where: str, vocabulary: str = "byte_bpe_50
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        tail = np.array([end], "<u4").tobytes()
         for b in batches:
             for i, j in slices(b.column("text"), 4 << 20):
-                ids = b.column("doc_id").slice(i, j - i)
-                key = np.searchsorted(bounds, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right")
-                texts = [t or "" for t in b.column("text").slice(i, j - i).to_pylist()]
-                made = [np.frombuffer(e + tail, "<u4") for e in enc.encode(texts)]
-                small = [m.astype("<u2").tobytes() if m.max() < 1 << 16 else b"\1" + m.tobytes() for m in made]
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), ids, pa.array(small, pa.binary())], ["span", "doc_id", "ids"])
+                doc = b.column("doc_id").slice(i, j - i)
+                key = np.searchsorted(bounds, doc.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right")
+                ids, first = enc.flat([t or "" for t in b.column("text").slice(i, j - i).to_pylist()])
+                ids, first = np.insert(ids, first[1:], end), first + np.arange(len(first))
+                # two bytes an id, or an odd length with four
+                if ids.max() < 1 << 16:
+                    small = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(2 * first), pa.py_buffer(ids.astype("<u2"))]).cast(pa.binary())
+                else:
+                    raw = ids.astype("<u4").tobytes()
+                    small = pa.array([b"\1" + raw[4 * x : 4 * y] for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), doc, small], ["span", "doc_id", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span, ordinal, number, first = None, 0, 0, 0

@@ -11,9 +11,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import fmindex, fst, langid, lm, minhash, packing, quality, rans, warc, winnow
+from quillstone.llm import fmindex, fst, langid, lm, minhash, packing, quality, rans, tok, warc, winnow
 from quillstone.llm.common import Words, grams, shared_dir, sliding_argmin, sliding_min
-from quillstone.llm.tok import encoder
+from quillstone.llm.tok import Encoder, encoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key long, cls string, span int, h long"
@@ -80,6 +80,20 @@ def test_words_and_minima():
         assert (sliding_min(x, n) == low).all() and all(at[i] == i + int(np.argmin(x[i : i + n])) and low[i] == x[i : i + n].min() for i in range(len(low)))
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder(name, monkeypatch):
+    """Texts of odd white space and special strings, in upper case too, as the library encodes them, with a small table."""
+    rng, e = random.Random(3), Encoder(name)
+    kinds = ["a", "B", "é", "e\u0301", "Σ", "ΑΣ", "İ", "\u212a", "ß", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2009", "\u2028", "\u3000", "'s", "'LL", "12", "³", "日本", "!!", "\r\n", "|>", "<|end", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|StartOfText|>"]
+    texts = ["".join(rng.choices(kinds, k=rng.randint(0, 14))) for _ in range(6000)] + ["<|ENDOFTEXT|> x"]
+    monkeypatch.setattr(tok, "CACHE", 1000)
+    for i in range(0, len(texts), 500):
+        part = texts[i : i + 500]
+        want = [x.ids for x in e.tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(part)] == want
+    assert len(e.table.at) < 8000 and e.encode([]) == [] and e.encode(["", ""]) == [b"", b""]
+
+
 def test_op1_counts(docs, none, by_id):
     t = encoder("word_bpe_49k.json").tokenizer
     want = {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in by_id.items()}
