@@ -38,9 +38,9 @@ WINDOW = 20
 K = 6
 #: Words of one index.
 SHARD_WORDS = 400_000
-#: Fragments of a minimum beyond which its windows are routed one by one: at least this, and a share of all,
-#: so that at most HOT_MINIMA minima (8 bytes each) are sent to the tasks.
-HOT, HOT_MINIMA = 5_000, 100_000
+#: Fragments of a minimum beyond which its windows are routed one by one; such minima (8 bytes each) are broadcast up to
+#: HOT_MINIMA of them, else joined with every minimum's fragments dealt out over SALTS tasks.
+HOT, HOT_MINIMA, SALTS = 1_000, 100_000, 32
 
 
 class WaveletTree:
@@ -204,8 +204,8 @@ def route_rows(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and length(text) >= 39").mapInArrow(rows, "m long, doc_id long, at int, n int, c int, known boolean")
 
 
-def candidates(docs: DataFrame, where: str) -> tuple[DataFrame, np.ndarray]:
-    """Fragments whose minimum occurs twice or more (doc_id, at, n, m), and the minima with very many."""
+def candidates(docs: DataFrame, where: str) -> DataFrame:
+    """Fragments whose minimum occurs twice or more: doc_id, at, n, m, and whether the minimum has very many (hot)."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     # rows that stand for none need no count: they are dealt out evenly
@@ -237,20 +237,28 @@ def candidates(docs: DataFrame, where: str) -> tuple[DataFrame, np.ndarray]:
             yield run(held)
 
     got = staged(dealt.mapInArrow(rows, "m long, doc_id long, at int, n int, total long"), f"{where}/candidates")
-    every = got.agg(F.sum("total")).first()[0] or 0
-    hot = got.where(F.col("total") > max(HOT, every // HOT_MINIMA)).select("m").collect()  # HOT_MINIMA rows at most
-    return got.select("doc_id", "at", "n", "m"), np.sort(np.array([r["m"] for r in hot], np.int64))
-
-
-def packed(docs: DataFrame) -> DataFrame:
-    """doc_id and the compressed text, for exchanges."""
+    hot = staged(got.where(F.col("total") > HOT).select("m", F.lit(True).alias("hot")), f"{where}/hot")
+    got, n = got.select("doc_id", "at", "n", "m"), hot.count()
+    if n == 0:
+        return got.withColumn("hot", F.lit(False))
+    if n <= HOT_MINIMA:
+        got = got.join(F.broadcast(hot), "m", "left")
+    else:
+        hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        got = got.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")).join(hot, ["m", "salt"], "left").drop("salt")
+    return got.withColumn("hot", F.coalesce("hot", F.lit(False)))
+
+
+def packed(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the compressed text and the columns to keep, for exchanges."""
+    kinds = [(f.name, f.dataType.simpleString()) for f in docs.schema if f.name in keep]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(3)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([None if t is None else z.compress(t) for t in arrow_texts(b.column("text"))], pa.binary())], ["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([None if t is None else z.compress(t) for t in arrow_texts(b.column("text"))], pa.binary()), *(b.column(k) for k, _ in kinds)], ["doc_id", "z", *(f"keep_{k}" for k, _ in kinds)])
 
-    return docs.mapInArrow(rows, "doc_id long, z binary")
+    return docs.mapInArrow(rows, "doc_id long, z binary" + "".join(f", `keep_{k}` {kind}" for k, kind in kinds))
 
 
 def unpacked(col: pa.Array) -> list[bytes | None]:
@@ -262,11 +270,10 @@ def in_steps(col: pa.Array, limit: int = 300_000) -> Iterator[tuple[int, int]]:
     return slices(col, limit)
 
 
-def to_shards(docs: DataFrame, found: DataFrame, hot: np.ndarray, width: int) -> DataFrame:
+def to_shards(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
     """route, content, doc_id, at, n: a row for each different fragment of a step; content null: repeated for certain."""
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "m")).alias("f"))
+    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "m", "hot")).alias("f"))
     joined = packed(docs.where("doc_id is not null and text is not null")).join(by_doc, "doc_id")
-    sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -277,10 +284,10 @@ def to_shards(docs: DataFrame, found: DataFrame, hot: np.ndarray, width: int) ->
                 sizes = lists.value_lengths().to_numpy()
                 doc = np.repeat(np.arange(j - i), sizes)
                 at, n, m = (flat.field(k).to_numpy().astype(np.int64) for k in range(3))
+                is_hot = flat.field(3).to_numpy(zero_copy_only=False).astype(bool)
                 # rows that share a doc_id with another text may name words that aren't there
                 ok = at + n + width - 1 <= np.diff(w.first)[doc]
-                doc, at, n, m = doc[ok], at[ok], n[ok], m[ok]
-                is_hot = np.isin(m, sent.value)
+                doc, at, n, m, is_hot = doc[ok], at[ok], n[ok], m[ok], is_hot[ok]
                 if is_hot.any():
                     h = grams(w.hash, width)
                     one = np.flatnonzero(is_hot)
@@ -351,15 +358,16 @@ def judge(fragments_: DataFrame, parts: int, width: int) -> DataFrame:
     return fragments_.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(rows, "doc_id long, at int, n int")
 
 
-def without_repeats(docs: DataFrame, width: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and the text that stays, with_text; null if text was)."""
+def without_repeats(docs: DataFrame, width: int = WINDOW, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (and the text that stays, with_text; null if text was), and columns to keep."""
     spark = docs.sparkSession
     where = shared_dir(spark)
-    docs = docs.select(docs["doc_id"].cast("long"), "text")
-    found, hot = candidates(docs, where)
-    repeated = staged(judge(to_shards(docs, found, hot, width), shuffle_parts(spark), width), f"{where}/repeated")
+    docs = docs.select(docs["doc_id"].cast("long"), "text", *keep)
+    found = candidates(docs.select("doc_id", "text"), where)
+    repeated = staged(judge(to_shards(docs.select("doc_id", "text"), found, width), shuffle_parts(spark), width), f"{where}/repeated")
     by_doc = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("r"))
-    rows_ = packed(docs).join(by_doc, "doc_id", "left")
+    rows_ = packed(docs, *keep).join(by_doc, "doc_id", "left")
+    kinds = [(f.name, f.dataType.simpleString()) for f in docs.schema if f.name in keep]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -380,9 +388,11 @@ def without_repeats(docs: DataFrame, width: int = WINDOW, with_text: bool = Fals
                     out.append((n, int(n - keep.sum()), hashlib.sha256(text).hexdigest(), None if texts[d] is None else texts[d] if keep.all() else text))
                 cols = list(zip(*out, strict=True))
                 got = [b.column("doc_id").slice(i, j - i), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2])]
-                yield pa.RecordBatch.from_arrays([*got, pa.array([None if t is None else t.decode() for t in cols[3]])] if with_text else got, ["doc_id", "n_words", "n_removed", "kept_sha256", "text"][: 4 + with_text])
+                got += [pa.array([None if t is None else t.decode() for t in cols[3]], pa.string())] if with_text else []
+                got += [b.column(f"keep_{k}").slice(i, j - i) for k, _ in kinds]
+                yield pa.RecordBatch.from_arrays(got, [*["doc_id", "n_words", "n_removed", "kept_sha256", "text"][: 4 + with_text], *(k for k, _ in kinds)])
 
-    return rows_.mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+    return rows_.mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text + "".join(f", `{k}` {kind}" for k, kind in kinds))
 
 
 def op3_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ SCRIPTS = [
     (0x1100, 0x11FF, 11), (0xAC00, 0xD7AF, 11), (0x3040, 0x30FF, 12), (0x3400, 0x9FFF, 13), (0x20000, 0x3FFFF, 13),
 ]
 OTHER, KINDS = 14, 15
+#: Language numbers: up to 32,767 languages.
+LABEL = np.int16
 _TABLE: list[np.ndarray] = []
 
 
@@ -112,13 +114,13 @@ def viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     begin, n = first[:-1][order], int((sizes > 0).sum())
     steps = int(sizes.max()) if len(sizes) else 0
     live = np.searchsorted(-sizes[order], -np.arange(steps), "left")  # texts that have a word t
-    label = np.zeros(len(score), np.int8)
+    label = np.zeros(len(score), LABEL)
     if not n:
         return label
     stay = np.zeros(score.shape, bool)
-    best = np.zeros(len(score), np.int8)
+    best = np.zeros(len(score), LABEL)
     v = score[begin[:n]].copy()
-    final = np.zeros(len(sizes), np.int8)
+    final = np.zeros(len(sizes), LABEL)
     for t in range(1, steps):
         m = live[t]
         if m < len(v):
@@ -164,7 +166,7 @@ def languages(docs: DataFrame, model: dict, *keep: str, penalty: float = PENALTY
             for i, j in slices(b.column("text"), 2 << 20):
                 part = b.slice(i, j - i)
                 w = Letters([t or "" for t in part.column("text").to_pylist()])
-                label = labelled(w, sent.value, penalty) if langs else np.zeros(len(w.start), np.int8)
+                label = labelled(w, sent.value, penalty) if langs else np.zeros(len(w.start), LABEL)
                 pred, share, spans = [], [], []
                 for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
                     if a == z or not langs:

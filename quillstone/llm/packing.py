@@ -6,7 +6,8 @@ remaining length: a depth-first branch and bound goes from the fullest to the em
 undominated fillings of what it leaves, each repeated as long as its lengths last, then once; it turns back where
 the waste so far leaves no plan with fewer sequences than the best. Best-fit decreasing over the same histogram is
 the first incumbent. Where that isn't at the lower bound, the search ends at the bound, when all is tried, or STEPS
-fillings after its first dead end; in the last case the best plan so far is used, which need not be the least.
+fillings after its first dead end; in the last case it starts again with fillings that are as full in another order
+while its share of WORK lasts, and then the best plan so far is used, which need not be the least.
 
 The plan lists, for each length, runs of ranks and where they go. A document's rank among those of its length
 comes from counts for each task and length, so no length, however common, is gathered in one task.
@@ -17,9 +18,11 @@ an empty table gives no rows; documents longer than a sequence are cut into whol
 
 from __future__ import annotations
 
+import random
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,9 @@ from .tok import encoder
 
 CAPACITY = 4096
 #: Nodes of the search for one filling, fillings that the outer search branches over, and its length after the first dead end.
-NODES, KEEP, STEPS = 400, 24, 5000
+NODES, KEEP, STEPS = 400, 24, 600
+#: Work of all descents together, in lengths that they look at; lengths up to which sums are looked up.
+WORK, FEW = 1_500_000, 300
 
 
 def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -74,12 +79,82 @@ def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[
     return [(n, list(p)) for groups in by_room.values() for n, p in groups if p]
 
 
+def dominated(left: int, chosen: list[tuple[int, int]], lengths: list[int], counts: dict[int, int]) -> bool:
+    """Whether another filling is at least as good: one more length fits, or one takes the place of up to three that it holds.
+
+    What a sequence could do with the three it can do with the one, and the three are left for others (Martello and Toth).
+    """
+    used = dict(chosen)
+    k = bisect_right(lengths, left)
+    if any(counts[x] > used.get(x, 0) for x in lengths[:k]):
+        return True
+    items = [x for x, n in chosen for _ in range(min(n, 3))]
+    for size in (1, 2, 3):
+        for sub in set(combinations(items, size)):
+            low, total = max(sub), sum(sub)
+            i = bisect_right(lengths, total - 1 if size > 1 else total)
+            while i < len(lengths) and lengths[i] <= total + left:
+                if lengths[i] > low and counts[lengths[i]] > used.get(lengths[i], 0):
+                    return True
+                i += 1
+    return False
+
+
+def exact_fillings(room: int, lengths: list[int], counts: dict[int, int], keep: int, nodes: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+    """The same as fillings, by the sums that the smallest lengths reach: no branch is entered that doesn't come to its sum."""
+    lengths = lengths[: bisect_right(lengths, room)]
+    mask, reach = (1 << (room + 1)) - 1, [1]
+    for x in lengths:
+        r, n, step = reach[-1], min(counts[x], room // x), 1
+        while n > 0:
+            take = min(step, n)
+            r |= r << (take * x)
+            r &= mask
+            n -= take
+            step *= 2
+        reach.append(r)
+    best: list[tuple[int, tuple]] = []
+    budget = nodes
+    sums = reach[-1]
+
+    def grow(top: int, left: int, total: int, chosen: list[tuple[int, int]]) -> bool:
+        """True once enough is found."""
+        nonlocal budget
+        if left == 0:
+            if not dominated(room - total, chosen, lengths, counts):
+                best.append((total, tuple(chosen)))
+            return len(best) >= keep
+        for i in range(top - 1, -1, -1):
+            if not reach[i + 1] >> left & 1:
+                return False
+            x = lengths[i]
+            for n in range(min(counts[x], left // x), 0, -1):
+                if reach[i] >> (left - n * x) & 1:
+                    budget -= 1
+                    if budget <= 0 and best:
+                        return True
+                    chosen.append((x, n))
+                    if grow(i, left - n * x, total, chosen):
+                        return True
+                    chosen.pop()
+        return False
+
+    while sums:
+        total = sums.bit_length() - 1
+        sums ^= 1 << total
+        if grow(len(lengths), total, total, []) or budget <= -8 * nodes:
+            break
+    return best or [(0, ())]
+
+
 def fillings(room: int, lengths: list[int], counts: dict[int, int], keep: int, nodes: int = NODES) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """Undominated fillings of a room, fullest first: (sum, ((length, how many), ...)).
 
-    lengths ascend. A filling is dominated if a length that is left fits in what it leaves; branches whose
-    sum cannot beat the worst kept one are cut, and so is all once the room is filled.
+    lengths ascend. With very many lengths, a depth-first search meets a full one soon; branches whose sum cannot
+    beat the worst kept one are cut, and so is all once the room is filled. With few, sums that can't be reached are.
     """
+    if bisect_right(lengths, room) <= FEW:
+        return exact_fillings(room, lengths, counts, keep, nodes)
     best: list[tuple[int, tuple]] = []
     budget = nodes
 
@@ -87,12 +162,11 @@ def fillings(room: int, lengths: list[int], counts: dict[int, int], keep: int, n
         nonlocal budget
         k = bisect_right(lengths, left, 0, top)
         if k == 0 or left == 0:
-            used = dict(chosen)
-            if not any(counts[length] > used.get(length, 0) for length in lengths[: bisect_right(lengths, left)]):
+            if not dominated(left, chosen, lengths, counts):
                 best.append((total, tuple(chosen)))
                 best.sort(key=lambda x: -x[0])
                 del best[keep:]
-            return left == 0 and keep == 1
+            return left == 0 and keep == 1 and bool(best)
         for i in range(k - 1, -1, -1):
             budget -= 1
             if budget <= 0:
@@ -112,20 +186,25 @@ def fillings(room: int, lengths: list[int], counts: dict[int, int], keep: int, n
     return best or [(0, ())]
 
 
-def plan(hist: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Patterns of a packing of hist (length: how many)."""
-    incumbent = best_fit(hist, capacity)
-    left = sum(a * n for a, n in hist.items())
-    least, most, bins = -(-left // capacity), sum(n for n, _ in incumbent), 0
+def descend(hist: dict[int, int], capacity: int, most: int, least: int, steps: int, work: list[int], order: random.Random | None) -> tuple[list | None, bool]:
+    """A plan of fewer than most sequences, the best that the search meets, and whether all has been tried.
+
+    work: what is left of it, counted down. order: None for the fullest filling of the largest lengths first, else
+    fillings that are as full come in any order.
+    """
+    found, left, bins = None, sum(a * n for a, n in hist.items()), 0
     counts, lengths = dict(hist), sorted(hist)
     made: list[tuple[int, dict[int, int]]] = []
     others: list[list[tuple[int, dict[int, int]]] | None] = []  # what is still to try at each place, None before it is known
 
     def choices(keep: int) -> list[tuple[int, dict[int, int]]]:
         top = lengths[-1]
+        work[0] -= 100 + len(lengths) * (8 if len(lengths) <= FEW else 1)
         counts[top] -= 1
         got = fillings(capacity - top, lengths if counts[top] else lengths[:-1], counts, keep)
         counts[top] += 1
+        if order:
+            got.sort(key=lambda x: (-x[0], order.random()))
         needs = [{**dict(p), top: dict(p).get(top, 0) + 1} for _, p in got]
         full = [(min(counts[a] // n for a, n in need.items()), need) for need in needs]
         return full + [(1, need) for times, need in full if times > 1 and keep > 1]
@@ -143,19 +222,20 @@ def plan(hist: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) ->
             elif not before:
                 insort(lengths, a)
 
-    down, dead = True, False
-    while most > least and steps > 0:
+    # the first descent isn't cut short before it has met a dead end
+    wide, down, dead, met = 4 if order else 1, True, False, order is not None
+    while most > least and steps > 0 and (work[0] > 0 or not met):
         steps -= dead
         if down and lengths and bins + -(-left // capacity) < most:
-            made.append(choices(1)[0])
+            made.append(choices(wide)[0])
             others.append(None)
             move(*made[-1])
             continue
         if down and not lengths and bins < most:
-            incumbent, most = [(times, sorted(need.items(), reverse=True)) for times, need in made], bins
-        down, dead = False, True
+            found, most = [(times, sorted(need.items(), reverse=True)) for times, need in made], bins
+        down, dead, met = False, True, True
         if not made:
-            break
+            return found, True
         tried = made.pop()
         move(-tried[0], tried[1])
         rest = others.pop()
@@ -168,6 +248,21 @@ def plan(hist: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) ->
                 others.append(rest)
                 move(times, need)
                 down = True
+    return found, most <= least
+
+
+def plan(hist: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Patterns of a packing of hist (length: how many)."""
+    incumbent = best_fit(hist, capacity)
+    least, most = -(-sum(a * n for a, n in hist.items()) // capacity), sum(n for n, _ in incumbent)
+    work, attempt = [WORK], 0
+    while most > least and work[0] > 0:
+        found, over = descend(hist, capacity, most, least, steps, work, random.Random(attempt) if attempt else None)
+        if found is not None:
+            incumbent, most = found, sum(n for n, _ in found)
+        if over:
+            break
+        attempt += 1
     return incumbent
 
 

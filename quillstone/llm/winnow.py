@@ -101,14 +101,15 @@ class Index:
         return out
 
 
-def indexes(benchmark: DataFrame, window: int = WINDOW, k: int = K, limit: int = INDEX_BYTES) -> Iterator[Index]:
-    """Indexes over all items, each over limit bytes of text at most, or one item."""
+def indexes(benchmark: DataFrame, window: int = WINDOW, k: int = K, limit: int = INDEX_BYTES) -> Iterator[tuple[int, Index]]:
+    """How many indexes there are and each of them: over all items, each over about limit bytes of text, or one item."""
     items = benchmark.select(benchmark["item_id"].cast("long"), "text").where("item_id is not null and text is not null")
     n = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // limit)
-    for block in range(max(1, n)):
+    n = max(1, n)
+    for block in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block) if n > 1 else items
         rows = part.collect()  # about limit bytes
-        yield Index([r["item_id"] for r in rows], [r["text"].encode() for r in rows], window, k)
+        yield n, Index([r["item_id"] for r in rows], [r["text"].encode() for r in rows], window, k)
 
 
 def digest(items: set[int]) -> str:
@@ -126,21 +127,30 @@ def finished(doc_ids, sizes, found) -> pa.RecordBatch:
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, limit: int = INDEX_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each document."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, limit: int = INDEX_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each document, and the columns to keep."""
     spark = docs.sparkSession
-    docs = docs.select(docs["doc_id"].cast("long"), "text")
-    found = [spark.sparkContext.broadcast(i) for i in indexes(benchmark, window, k, limit)]
+    docs = docs.select(docs["doc_id"].cast("long"), "text", *(k for k in keep if k not in ("doc_id", "text")))
+    kinds = [(f.name, f.dataType.simpleString()) for f in docs.schema if f.name in keep and f.name != "doc_id"]
+    schema = SCHEMA + "".join(f", `{name}` {kind}" for name, kind in kinds)
+    # an index is read once, and what it finds is written before the next one is made: one is held at a time
+    blocks = indexes(benchmark, window, k, limit)
+    n_blocks, first = next(blocks)
+    found = spark.sparkContext.broadcast(first)
+
+    def with_kept(done: pa.RecordBatch, part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*done.columns, *(part.column(name) for name, _ in kinds)], [*done.schema.names, *(name for name, _ in kinds)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in slices(b.column("text")):
-                w = Words(arrow_texts(b.column("text").slice(i, j - i)), NOT_ALNUM, lower=True)
-                hits = found[0].value.hits(w)
-                yield finished(b.column("doc_id").slice(i, j - i), np.diff(w.first).tolist(), [hits.get(d, (None, set())) for d in range(len(w))])
+                part = b.slice(i, j - i)
+                w = Words(arrow_texts(part.column("text")), NOT_ALNUM, lower=True)
+                hits = found.value.hits(w)
+                yield with_kept(finished(part.column("doc_id"), np.diff(w.first).tolist(), [hits.get(d, (None, set())) for d in range(len(w))]), part)
 
-    if len(found) == 1:
-        return docs.mapInArrow(scan, SCHEMA)
+    if n_blocks == 1:
+        return docs.mapInArrow(scan, schema)
     where = shared_dir(spark)
     rows = staged(docs.withColumn("row", F.monotonically_increasing_id()), f"{where}/docs")
 
@@ -164,13 +174,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
                 for n, masks, items in zip(sizes, part.column("masks").to_pylist(), part.column("items").to_pylist(), strict=True):
                     m = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x in masks or []]
                     out.append((np.logical_or.reduce(m) if m else None, {x for s in items or [] for x in s}))
-                yield finished(part.column("doc_id"), sizes, out)
+                yield with_kept(finished(part.column("doc_id"), sizes, out), part)
 
-    hits = staged(scan_block(found[0]), f"{where}/hits0")
-    for n, block in enumerate(found[1:], 1):
-        hits = hits.unionByName(staged(scan_block(block), f"{where}/hits{n}"))
+    hits = staged(scan_block(found), f"{where}/hits0")
+    for n, (_, index) in enumerate(blocks, 1):
+        found.destroy()
+        found = spark.sparkContext.broadcast(index)
+        hits = hits.unionByName(staged(scan_block(found), f"{where}/hits{n}"))
     by = hits.groupBy("row").agg(F.collect_list("mask").alias("masks"), F.collect_list("items").alias("items"))
-    return rows.join(by, "row", "left").select("doc_id", "text", "masks", "items").mapInArrow(merge, SCHEMA)
+    return rows.join(by, "row", "left").drop("row").mapInArrow(merge, schema)
 
 
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -422,9 +423,38 @@ def test_op9_plans():
             for a, k in pattern:
                 used[a] += times * k
         assert used == hist and sum(t for t, _ in plan) <= sum(t for t, _ in packing.best_fit(hist, 4096))
-    # best-fit decreasing needs four bins here, three do
-    hist = Counter({6: 3, 5: 3, 2: 3, 4: 3, 3: 1})
-    assert sum(t for t, _ in packing.plan(Counter({44: 2, 24: 2, 22: 2, 21: 2, 17: 4, 8: 2, 6: 2}), 100)) <= 3 + 1 and packing.plan(hist, 10)
+    for hist, capacity, least in ((Counter({6: 3, 5: 3, 2: 3, 4: 3, 3: 1}), 10, 6), (Counter({44: 2, 24: 2, 22: 2, 21: 2, 17: 4, 8: 2, 6: 2}), 100, 4)):
+        assert sum(t for t, _ in packing.plan(hist, capacity)) == least
+
+
+@pytest.mark.parametrize(("bins", "times"), [(20, 12), (150, 4)])
+def test_op9_planted(bins, times):
+    """Sequences cut into two to six pieces can mostly be put together again without waste, where best fit can't; else one more is taken."""
+    rng, beaten, least = random.Random(bins), 0, 0
+    for _ in range(times):
+        hist = Counter()
+        for _ in range(bins):
+            cuts = sorted(rng.sample(range(1, 4096), rng.randint(1, 5)))
+            hist.update(b - a for a, b in zip([0, *cuts], [*cuts, 4096], strict=True))
+        made = packing.plan(hist)
+        assert Counter(a for t, p in made for a, k in p for _ in range(t * k)) == hist and all(sum(a * k for a, k in p) <= 4096 for _, p in made)
+        n = sum(t for t, _ in made)
+        assert n <= bins + 1
+        least += n == bins
+        beaten += sum(t for t, _ in packing.best_fit(hist, 4096)) > bins
+    assert beaten >= times // 2 and least >= 0.7 * times
+
+
+def test_op9_dominated():
+    """Fillings that are left out are no better than one that stays, by trying all."""
+    rng = random.Random(5)
+    for _ in range(60):
+        counts = Counter(rng.randint(1, 30) for _ in range(rng.randint(1, 9)))
+        lengths, room = sorted(counts), rng.randint(1, 60)
+        got = packing.fillings(room, lengths, counts, 10**6, 10**6)
+        sums = {sum(a for a in pick) for n in range(sum(counts.values()) + 1) for pick in combinations(sorted(counts.elements()), n)}
+        assert max(got)[0] == max(x for x in sums if x <= room)
+        assert all(sum(a * k for a, k in f) == total <= room and all(k <= counts[a] for a, k in f) for total, f in got)
 
 
 @pytest.mark.parametrize(
