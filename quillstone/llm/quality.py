@@ -1,10 +1,14 @@
 """Quality rules with adaptive thresholds, in DataFrame functions alone.
 
-Every text gets its counts in one scan; from them, KLL sketches of three measures are built for each language
-and source over all documents that pass the base rules. Sketches merge, so partial ones are made before the
-shuffle, and groups of fewer than LEAST documents fall back on the merged sketches of their language, then on
-those of all. A measure beyond q75 + SPREAD * (q75 - q25) of its group and beyond FLOOR rejects a document: the
-floors keep a group of nearly equal documents from rejecting plain ones. Verdicts are joined to the counts.
+Every text gets its counts in one scan; from them, KLL sketches of three rates are built for each language and source
+over all documents that pass the base rules. Sketches merge, so partial ones are made before the shuffle, and groups of
+fewer than LEAST documents fall back on the merged sketches of their language, then on those of all.
+
+A rate is (count + 1) / (total + prior): symbols among characters, repeated lines among lines, words in repeated windows
+among words. So texts without any differ by their lengths, and quartiles say what is usual in a group. A document whose rate
+is beyond q75 * (q75 / q25) ** 3 of its group goes: three quartile distances on a scale of logarithms. There is no fixed
+cutoff; a quartile distance counts as a factor of NARROW at least, so that a group of nearly equal documents doesn't
+reject plain ones. Verdicts are joined to the counts.
 
 Three-word windows are compared by a 64-bit hash inside one text. A null text has no words and fails the base
 rules; null lang and source are groups of their own; repeated rows count each; an empty table gives no rows.
@@ -20,9 +24,10 @@ from .common import shared_dir, staged, table
 SPACES = " \t\n\x0b\f\r"
 #: Documents that a group's own thresholds need.
 LEAST = 100
-#: Spread beyond the third quartile, and the values of each measure that are never too high.
-SPREAD = 4.0
-FLOOR = {"symbol_share": 0.06, "dup_line_share": 0.30, "repeat_share": 0.30}
+#: Least factor between the third quartile and the first.
+NARROW = 1.25
+#: Of each rate: what is counted, of how many, and the prior of the total.
+RATES = {"symbol_rate": ("n_symbols", "word_chars", 500), "dup_line_rate": ("n_dup_lines", "n_lines", 20), "repeat_rate": ("n_repeat_words", "n_words", 50)}
 #: Size of the sketches: rank error below 0.2 %; groups of up to this many documents are exact.
 SKETCH = 2048
 
@@ -55,29 +60,30 @@ def base_failed() -> Column:
 
 
 def measured(counts: DataFrame) -> DataFrame:
-    share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
-    return counts.withColumns({"symbol_share": share("n_symbols", "word_chars"), "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words"), "base_failed": base_failed()})
+    rate = lambda n, total, prior: (F.col(n) + 1).cast("double") / (F.col(total) + prior)
+    return counts.withColumns({m: rate(*parts) for m, parts in RATES.items()} | {"base_failed": base_failed()})
 
 
 def sketches(counts: DataFrame) -> DataFrame:
     """Mergeable sketches of each measure for each language and source, over documents that pass the base rules."""
-    return counts.where("not base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(m, F.lit(SKETCH)).alias(m) for m in FLOOR))
+    return counts.where("not base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(m, F.lit(SKETCH)).alias(m) for m in RATES))
 
 
 def fences(sk: DataFrame) -> DataFrame:
     """lang, source and the highest value of each measure that is kept."""
-    merged = lambda by: sk.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(m, F.lit(SKETCH)).alias(m) for m in FLOOR))
+    merged = lambda by: sk.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(m, F.lit(SKETCH)).alias(m) for m in RATES))
 
     def fence(m: str) -> Column:
         q = lambda r: F.kll_sketch_get_quantile_double(m, F.lit(r))
-        return F.greatest(F.lit(FLOOR[m]), q(0.75) + F.lit(SPREAD) * (q(0.75) - q(0.25)))
+        ratio = F.greatest(q(0.75) / q(0.25), F.lit(NARROW))
+        return q(0.75) * ratio * ratio * ratio
 
-    top = lambda df, tag: df.select(*[c for c in ("lang", "source") if c in df.columns], F.col("n").alias(f"n_{tag}"), *(fence(m).alias(f"{m}_{tag}") for m in FLOOR))
+    top = lambda df, tag: df.select(*[c for c in ("lang", "source") if c in df.columns], F.col("n").alias(f"n_{tag}"), *(fence(m).alias(f"{m}_{tag}") for m in RATES))
     own, by_lang, every = top(sk, "own"), top(merged(["lang"]), "lang"), top(merged([]).where("n > 0"), "all")
     # a row for each group, not for each document; the last side is one row
     rows = own.join(by_lang.withColumnRenamed("lang", "lang_"), F.col("lang").eqNullSafe(F.col("lang_")), "left").join(F.broadcast(every), F.lit(True), "left")
     pick = lambda m: F.when(F.col("n_own") >= LEAST, F.col(f"{m}_own")).when(F.col("n_lang") >= LEAST, F.col(f"{m}_lang")).otherwise(F.col(f"{m}_all"))
-    return rows.select("lang", "source", *(pick(m).alias(f"{m}_max") for m in FLOOR))
+    return rows.select("lang", "source", *(pick(m).alias(f"{m}_max") for m in RATES))
 
 
 def judged(docs: DataFrame, where: str, *keep: str) -> DataFrame:
@@ -87,7 +93,7 @@ def judged(docs: DataFrame, where: str, *keep: str) -> DataFrame:
     rows = counts.join(limits, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left")
     # a group without limits has no document that passes the base rules
     within = F.lit(True)
-    for m in FLOOR:
+    for m in RATES:
         within &= F.coalesce(F.col(m) <= F.col(f"{m}_max"), F.lit(True))
     return rows.withColumn("kept", ~F.col("base_failed") & within)
 
@@ -97,8 +103,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(docs, f"{shared_dir(spark)}/counts", "doc_id", "lang", "source").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_M = list(FLOOR)
-_Q = ", ".join(f"greatest({FLOOR[m]}::DOUBLE, quantile_disc({m}, 0.75) + {SPREAD}::DOUBLE * (quantile_disc({m}, 0.75) - quantile_disc({m}, 0.25))) AS {m}_max" for m in _M)
+_M = list(RATES)
+_R = {m: f"greatest(quantile_disc({m}, 0.75) / quantile_disc({m}, 0.25), {NARROW}::DOUBLE)" for m in _M}
+_Q = ", ".join(f"quantile_disc({m}, 0.75) * {_R[m]} * {_R[m]} * {_R[m]} AS {m}_max" for m in _M)
+_V = ", ".join(f"(({n} + 1)::DOUBLE / ({total} + {prior})) AS {m}" for m, (n, total, prior) in RATES.items())
 COUNTS_SQL = r"""
 t AS (SELECT *, coalesce(text, '') AS t FROM documents),
 a AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -107,12 +115,11 @@ g AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_i
 r AS (SELECT doc_id, count(DISTINCT q)::BIGINT AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS q FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY 1),
 c AS (SELECT a.doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
              length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
-             coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines FROM a LEFT JOIN r USING (doc_id)),
-m AS (SELECT *, coalesce(n_symbols::DOUBLE / nullif(word_chars, 0), 0) AS symbol_share, coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0) AS dup_line_share,
-             coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0), 0) AS repeat_share, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)"""
+             coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines FROM a LEFT JOIN r USING (doc_id))"""
 JUDGED_SQL = (
     COUNTS_SQL
     + f""",
+m AS (SELECT *, {_V}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
 o AS (SELECT lang, source, count(*) AS n, {_Q} FROM m WHERE NOT base_failed GROUP BY 1, 2),
 lg AS (SELECT lang, count(*) AS n, {_Q} FROM m WHERE NOT base_failed GROUP BY 1),
 al AS (SELECT {_Q} FROM m WHERE NOT base_failed),

@@ -157,10 +157,10 @@ def brute_repeats(by_id, width):
     return out
 
 
-@pytest.mark.parametrize("hot", [5000, 1])
-def test_op3_repeats(docs, none, by_id, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "minima"), [(5000, 10), (1, 10**6), (1, 1)])
+def test_op3_repeats(docs, none, by_id, hot, minima, monkeypatch):
     monkeypatch.setattr(fmindex, "HOT", hot)
-    monkeypatch.setattr(fmindex, "HOT_MINIMA", 10**12)
+    monkeypatch.setattr(fmindex, "HOT_MINIMA", minima)
     rows = got(fmindex.without_repeats(docs))
     assert {i: tuple(r)[1:] for i, r in rows.items()} == brute_repeats(by_id, 20)
     assert fmindex.without_repeats(none).count() == 0
@@ -344,6 +344,24 @@ def test_op7_languages(spark):
     assert {r["lang_pred"] for r in langid.languages(spark.createDataFrame(rows, "doc_id long, text string"), empty).collect()} == {"und"}
 
 
+def test_op7_many_languages(spark):
+    """More languages than a byte can number."""
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrst"
+    say = lambda k: " ".join(letters[k // 20] + letters[k % 20] + rng.choice("xyz") + letters[k // 20] for _ in range(20))
+    model = langid.learn(spark.createDataFrame([(say(k), f"l{k:03}") for k in range(160) for _ in range(2)], "text string, lang string"))
+    rows = langid.languages(spark.createDataFrame([(k, say(k)) for k in range(160)], "doc_id long, text string"), model, "doc_id").collect()
+    assert sum(r["lang_pred"] == f"l{r['doc_id']:03}" for r in rows) >= 155
+
+
+def test_op7_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    held = [r for r in langid.op7_language(spark, sf).collect() if r["held_out"] and r["lang_pred"] != "und"]
+    assert len(held) > 250 and all(zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in held)
+    assert sum(lang[r["doc_id"]] == r["lang_pred"] for r in held) >= 0.99 * len(held)
+
+
 def test_op7_viterbi():
     rng = np.random.default_rng(1)
     s = rng.normal(size=(40, 3)).astype(np.float32)
@@ -374,13 +392,49 @@ def test_op8_rules(spark, docs, none, by_id):
     assert quality.judged(none, f"{shared_dir(spark)}/c", "doc_id", "lang", "source").count() == 0
 
 
+def brute_kept(counts, group_of):
+    """Verdicts by plain sorting: counts has (n_symbols, word_chars, n_dup_lines, n_lines, n_repeat_words, n_words) of each document."""
+    ok = {i for i, c in counts.items() if c[5] >= 50 and 100 * c[4] <= 50 * c[5]}
+    rates = {i: ((c[0] + 1) / (c[1] + 500), (c[2] + 1) / (c[3] + 20), (c[4] + 1) / (c[5] + 50)) for i, c in counts.items()}
+    out = {}
+    for i in counts:
+        levels = [{j for j in ok if group_of[j] == group_of[i]}, {j for j in ok if group_of[j][0] == group_of[i][0]}]
+        group = next((g for g in levels if len(g) >= 100), ok)
+        kept = i in ok
+        for m in range(3) if kept else ():
+            x = sorted(rates[j][m] for j in group)
+            q = [x[max(0, -(-len(x) * k // 4) - 1)] for k in (1, 3)]
+            kept &= rates[i][m] <= q[1] * max(q[1] / q[0], 1.25) ** 3 * (1 + 1e-12)
+        out[i] = kept
+    return out
+
+
 def test_op8_thresholds(spark):
     rng = random.Random(3)
-    plain = [(k, prose(rng, 60, 9000), "en", "s") for k in range(150)]
-    junk = [(k, prose(rng, 60, 9000).replace(" ", "$$$ "), "en", "s") for k in range(1000, 1010)]
-    noisy = [(k, prose(rng, 60, 9000).replace(" ", "$ "), None, "n") for k in range(2000, 2150)]
-    rows = got(quality.judged(spark.createDataFrame(plain + junk + noisy, "doc_id long, text string, lang string, source string"), f"{shared_dir(spark)}/c", "doc_id", "lang", "source"))
-    assert {i for i, r in rows.items() if not r["kept"]} == {x[0] for x in junk}
+    some = lambda t, share: " ".join(w + "$" * (rng.random() < share) for w in t.split())
+    rows = [(k, some(prose(rng, rng.randint(50, 400), 9000), 0.002), "en", "plain") for k in range(300)]
+    rows += [(k, some(prose(rng, rng.randint(50, 400), 9000), 0.5), "en", "prices") for k in range(1000, 1300)]
+    rows += [(2000 + k, some(prose(rng, 300, 9000), 0.3), "en", "plain") for k in range(9)]
+    rows += [(3000 + k, prose(rng, 300, 9000).replace(" ", "$$$$$$$$ "), "en", "prices") for k in range(9)]
+    rows += [(4000 + k, some(prose(rng, 120, 9000), 0.01), None, f"s{k % 5}") for k in range(40)] + [(5000, None, "en", "plain"), (5001, "", None, None)]
+    rows += [(6000 + k, (prose(rng, 12, 9000) + "\n") * 3 + prose(rng, 60, 9000), "en", "plain") for k in range(5)]
+    out = got(quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), f"{shared_dir(spark)}/c", "doc_id", "lang", "source"))
+    counts = {i: (r["n_symbols"], r["word_chars"], r["n_dup_lines"], r["n_lines"], r["n_repeat_words"], r["n_words"]) for i, r in out.items()}
+    want = brute_kept(counts, {r[0]: r[2:] for r in rows})
+    assert {i: r["kept"] for i, r in out.items()} == want
+    # junk of both sources goes, and what is kept of the one has more symbols than what goes of the other: no fixed cutoff does that
+    share = {i: c[0] / max(1, c[1]) for i, c in counts.items()}
+    assert not any(out[i]["kept"] for i in (*range(2000, 2009), *range(3000, 3009)))
+    assert sum(out[i]["kept"] for i in (*range(300), *range(1000, 1300))) > 590
+    assert max(share[i] for i in range(1000, 1300) if out[i]["kept"]) > min(share[i] for i in range(2000, 2009))
+
+
+def test_op8_verdicts(spark):
+    """The limits of groups decide on the test tables too, and agree with plain sorting."""
+    out = got(quality.judged(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), f"{shared_dir(spark)}/c", "doc_id", "lang", "source"))
+    counts = {i: (r["n_symbols"], r["word_chars"], r["n_dup_lines"], r["n_lines"], r["n_repeat_words"], r["n_words"]) for i, r in out.items()}
+    assert {i: r["kept"] for i, r in out.items()} == brute_kept(counts, {i: (r["lang"], r["source"]) for i, r in out.items()})
+    assert any(not r["kept"] and not r["base_failed"] for r in out.values())
 
 
 def check_packing(rows, want, capacity):
