@@ -2,9 +2,11 @@
 
 A response is an HTTP message with chunked transfer framing. A block longer than SEGMENT bytes is cut
 into a first record and continuation records that carry the origin's id and a segment number; the last
-one carries the total length. Rows that share a payload are one response (largest page_id) and revisits.
+one carries the total length. Rows that share a payload are one response (largest page_id) and revisits. Each record
+is a gzip member of its own, so a reader can take single records by their offsets.
 
-Nulls and edges: a null html is an empty payload; a null url is written as "urn:page:<page_id>"; empty
+Nulls and edges: a null html is an empty payload; a null url is written as "urn:page:<page_id>", one of
+more than URL characters by its SHA-1; empty
 tables give no records. Each row has a record of its own: where a page_id is null or occurs again, the record's id
 goes on with the digest, the url's SHA-1 and a number among equal rows. Rows that share the largest page_id of their
 payload are a response each. A row without page_id is written as a revisit of a page with its payload, or else as a
@@ -14,8 +16,11 @@ response; the query gives both as revisits that refer to no page, as its SQL doe
 from __future__ import annotations
 
 import gzip
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +35,10 @@ CHUNK = 4096
 DATE = "2024-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = b"\r\n\r\n"
+#: Last byte of every gzip member of less than 16 MB.
+MEMBER_END = b"\0"
+#: Characters of the longest url that is written as it stands.
+URL = 64 * 1024
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
@@ -71,7 +80,9 @@ def record(kind: str, rid: str, block: bytes, **headers: str) -> bytes:
 
 def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, rid: str, refers_to: str | None, segment: int = SEGMENT) -> list[bytes]:
     """A page's records. rid, refers_to: ids of its own record and of the response that it revisits."""
-    base = {"WARC_Target_URI": re.sub(r"[\s\x00-\x20]", "%20", url or (rid if page_id is None else f"urn:page:{page_id}")), "WARC_Payload_Digest": f"sha1:{digest}"}
+    url = url or (rid if page_id is None else f"urn:page:{page_id}")
+    url = url if len(url) <= URL else f"urn:sha1:{hashlib.sha1(url.encode()).hexdigest()}"
+    base = {"WARC_Target_URI": re.sub(r"[\s\x00-\x20]", "%20", url), "WARC_Payload_Digest": f"sha1:{digest}"}
     if refers_to is not None:
         return [record("revisit", rid, HTTP, **base, WARC_Refers_To=f"<{refers_to}>", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", Content_Type="application/http; msgtype=response")]
     block = HTTP + frame(payload)
@@ -130,15 +141,16 @@ def dedup_plan(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, where: str, segment: int = SEGMENT) -> None:
-    """Write compressed WARC files of dedup_plan's pages by Spark's own writer, so that lost tasks and repeats leave whole files only."""
+    """Write WARC files of dedup_plan's pages, a gzip member a record, by Spark's own writer, so that lost tasks and repeats leave whole files only."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, size = [], 0
+            out: list[bytes] = []
+            size = 0
             for r in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "rid", "refers_to")), strict=True):
                 for x in page_records(r[0], r[1], (r[2] or "").encode(), r[3], r[4], r[5], segment):
-                    out.append(x)
-                    size += len(x)
+                    out.append(member(x + END)[: -len(MEMBER_END)])
+                    size += len(out[-1])
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
                     out, size = [], 0
@@ -146,8 +158,28 @@ def write_archives(pages: DataFrame, where: str, segment: int = SEGMENT) -> None
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     made = pages.mapInArrow(records, "value binary").select(F.col("value").cast("string"))
-    # the separator that the text writer puts after each row is the one that ends a WARC record
-    made.write.mode("overwrite").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 2000).option("compression", "gzip").text(where)
+    # the separator that the text writer puts after each row is the end of a gzip member: the high byte of its length
+    made.write.mode("overwrite").option("lineSep", MEMBER_END.decode()).option("maxRecordsPerFile", 2000).option("compression", "none").text(where)
+
+
+def member(record_: bytes) -> bytes:
+    """A record as a gzip member of its own."""
+    if len(record_) >> 24:
+        raise ValueError("a record has 16 MB or more")
+    return gzip.compress(record_, 4, mtime=0)
+
+
+def members(data: bytes) -> Iterator[bytes]:
+    """What each gzip member of a file holds."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        z, out, step = zlib.decompressobj(31), [], 1 << 15
+        while not z.eof:
+            if at >= len(data):
+                raise ValueError("a gzip member is cut short")
+            out.append(z.decompress(view[at : at + step]))
+            at += min(step, len(data) - at) - len(z.unused_data)
+        yield b"".join(out)
 
 
 def read_records(spark: SparkSession, where: str) -> DataFrame:
@@ -160,7 +192,7 @@ def read_records(spark: SparkSession, where: str) -> DataFrame:
         for b in batches:
             for data in b.column("content"):
                 out, size = [], 0
-                for h, block in parse(gzip.decompress(data.as_py())):
+                for h, block in chain.from_iterable(map(parse, members(data.as_py()))):
                     out.append((bare(h["warc-record-id"]), h["warc-type"], bare(h.get("warc-segment-origin-id")), int(h["warc-segment-number"]) if "warc-segment-number" in h else None, int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, h.get("warc-payload-digest", "").removeprefix("sha1:") or None, bare(h.get("warc-refers-to")), h.get("warc-target-uri"), block))
                     size += len(block)
                     if size > 4 << 20:
@@ -203,7 +235,6 @@ def reassemble(records: DataFrame) -> DataFrame:
 def decode(responses: DataFrame) -> DataFrame:
     """page id, payload, its length and digest; a payload that doesn't have its record's digest raises."""
     import base64
-    import hashlib
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

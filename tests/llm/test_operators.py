@@ -1,6 +1,7 @@
 """The ten operators against brute force and round trips, with nulls, ties, long texts and clashing columns."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -184,7 +185,7 @@ def test_op3_index():
 
 def test_op4_archives(spark):
     html = ["x" * 50_000, "", None, "é" * 9000 + "\r\n\r\nWARC/1.1\r\n", "dup", "dup", "dup", "x" * 50_000, "<p>a</p>"]
-    pages = spark.createDataFrame([(i, None if i == 3 else f"http://e.x/{i} y", h, "z") for i, h in enumerate(html)], "page_id long, url string, html string, digest string")
+    pages = spark.createDataFrame([(i, None if i == 3 else "u" * 20_000_000 if i == 8 else f"http://e.x/{i} y", h, "z") for i, h in enumerate(html)], "page_id long, url string, html string, digest string")
     where = shared_dir(spark)
     warc.write_archives(warc.dedup_plan(pages), where, segment=4096)
     records = warc.read_records(spark, where)
@@ -198,6 +199,12 @@ def test_op4_archives(spark):
             assert (r["n_segments"] > 1) == (len(h) > 4000)
         else:
             assert f"urn:page:{i}" not in full
+    # a gzip member for each record, which stands alone
+    files = [bytes(r["content"]) for r in spark.read.format("binaryFile").load(where).collect()]
+    assert sum(len(list(warc.parse(x))) for f in files for x in warc.members(f)) == records.count() == sum(1 for f in files for _ in warc.members(f))
+    assert all(gzip.decompress(f) == b"".join(warc.members(f)) for f in files)
+    with pytest.raises(ValueError):
+        list(warc.members(max(files, key=len)[:-9]))
     visits = {r["rid"]: r["refers_to"] for r in records.where("kind = 'revisit'").collect()}
     assert visits["urn:page:4"] == "urn:page:6" and visits["urn:page:1"] == "urn:page:2"
     lost = records.where("not (kind = 'continuation' and segment = 2)")
