@@ -1,7 +1,8 @@
 """A training-data pipeline over documents, as stages that read what the one before has written.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-Nulls, empty tables and repeated rows are handled as the operators' docstrings say.
+Stages go by rows, so rows of one doc_id (or none) are documents of their own. Null texts are texts without words. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,31 +17,47 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or their group's thresholds reject go."""
+    """Documents that the base rules or their group's thresholds reject go: null, empty and short texts among them.
+
+    Repeated rows count each in their group's quartiles and are judged alike; null lang and source are groups.
+    """
     return quality.judged(docs, f"{shared_dir(spark)}/counts", *COLUMNS).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+    """One document of each group of near duplicates stays, that with the least doc_id: five-word shingles, similarity 0.8 or more.
+
+    Where doc_ids are null or occur again, rows are numbered in the order of doc_id (nulls last), lang, source and text, and the
+    least number of a group stays; so one of equal rows stays. Texts without words are no duplicates of each other and stay.
+    """
+    if minhash.has_repeats(docs) or docs.where("doc_id is null").limit(1).count():
+        order = [F.col("doc_id").asc_nulls_last(), "lang", "source", "text"]
+        rows = staged(docs.select(*COLUMNS).orderBy(*order).withColumn("row_", F.monotonically_increasing_id()), f"{shared_dir(spark)}/rows")
+        kept = minhash.near_duplicates(rows.select(F.col("row_").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("row_"))
+        return rows.join(kept, "row_", "left_semi").select(*COLUMNS)
+    return docs.join(minhash.near_duplicates(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of windows that start earlier go; texts without such words stay as they are."""
-    cut = fmindex.without_repeats(docs, with_text=True).where("n_removed > 0").select("doc_id", F.col("text").alias("left_")).dropDuplicates(["doc_id"])
-    text = F.coalesce("left_", "text")
-    return docs.join(cut, "doc_id", "left").select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("left_").isNotNull(), F.length("left_").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    """Words of windows that start earlier go (n_chars is counted anew); texts without such words stay as they are, null ones too.
+
+    Rows with a null doc_id stay as they are. Rows of one doc_id are the same place, of which none is earlier; where their texts differ, each
+    loses words at places found in another's only where it has them.
+    """
+    rows = fmindex.without_repeats(docs, with_text=True, keep=("lang", "source", "n_chars"))
+    return rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark windows in a twentieth of their words or more go."""
-    bad = staged(winnow.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id"), f"{shared_dir(spark)}/bad").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti").select(*COLUMNS)
+    """Documents that hold any window of a benchmark item go, however long they are.
+
+    A document of which a passage is cut already holds no window and stays. Null texts and null doc_ids are judged as others.
+    """
+    return winnow.contamination(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS).where("n_hit = 0").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in sequences of 4096 tokens."""
+    """Where each piece of each document stands in sequences of 4096 tokens; every row is packed, a null text as the end token alone."""
     return packing.pack_documents(docs)
 
 
