@@ -529,10 +529,10 @@ def test_op9_backtracks(capacity, lengths, least):
     assert Counter(a for t, p in plan for a, k in p for _ in range(t * k)) == Counter(lengths) and all(sum(a * k for a, k in p) <= capacity for _, p in plan)
 
 
-def test_op10_scores(spark, docs, none, by_id):
+def test_op10_scores(docs, none, by_id):
     held = {i for i in by_id if zlib.crc32(str(i).encode()) % 7 == 2}
-    train = docs.where(~F.col("doc_id").isin(held)).select("doc_id", "text")
-    rows = got(lm.scores(docs.select("doc_id", F.col("doc_id").isin(held).alias("held_out"), "text"), train))
+    asked = lambda df, teaches: df.select("doc_id", F.col("doc_id").isin(held).alias("held_out"), teaches.alias("teaches"), "text")
+    rows = got(lm.scores(asked(docs, ~F.col("doc_id").isin(held))))
     c = Counter()
     for i, t in by_id.items():
         if i not in held:
@@ -542,37 +542,101 @@ def test_op10_scores(spark, docs, none, by_id):
         w, r = [*words(t, True), None], rows[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i in held, len(w), sum(c[x] > 0 for x in w), n)
         assert abs(r["base_score"] - sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w)) < 1e-6 and r["score"] < 0
-    assert lm.scores(none.select("doc_id", F.lit(False).alias("held_out"), "text"), none).count() == 0
-    untaught = got(lm.scores(docs.select("doc_id", F.lit(False).alias("held_out"), "text"), none))
+    assert lm.scores(asked(none, F.lit(True))).count() == 0
+    untaught = got(lm.scores(asked(docs, F.lit(False))))
     assert untaught[7]["train_tokens"] == 0 and untaught[7]["n_known"] == 0
 
 
+def test_op10_nulls_and_repeats(spark):
+    long = prose(random.Random(1), 30_000, 50)
+    rows = [(None, "a b", False, False), (1, None, False, True), (1, None, False, True), (2, "", False, True), (3, long, False, True), (4, "a b", True, False), (4, "a b", True, False)]
+    out = lm.scores(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean, teaches boolean")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in out) == [(0, 3), (1, 1), (1, 1), (2, 1), (3, 30_001), (4, 3), (4, 3)]
+    assert len({r["score"] for r in out if r["doc_id"] in (None, 4)}) == 1 and len({r["score"] for r in out if r["doc_id"] in (1, 2)}) == 1
+
+
+def test_op10_beats_base(spark):
+    """On documents that it hasn't learned from, the model is better than the add-one base, text by text mostly and in all."""
+    held = [r for r in lm.op10_attention_lm(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
+    assert len(held) > 100 and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def parts_of(seed=0, n=3000):
+    """Ids, pairs and their counts, and the tables made of them."""
+    rng = np.random.default_rng(seed)
+    ids = rng.zipf(1.3, n) % 700
+    before = np.concatenate([[lm.BEGIN], ids[:-1]])
+    key, count = np.unique(before << 16 | ids, return_counts=True)
+    counts = np.bincount(ids, minlength=lm.IDS)
+    of = lm.classes_of(counts, key, count)
+    return ids, key, count, counts, of
+
+
+def test_op10_pairs():
+    ids, key, count, counts, of = parts_of()
+    some = np.arange(len(key)) % 3 > 0  # the rarer ones may be left out
+    pairs = lm.Pairs(counts, of, key[some], count[some])
+    every = np.arange(lm.IDS)
+    for before in (lm.BEGIN, int(ids[0]), int(ids[9]), 48_000):
+        p = np.exp(pairs.log_probs(np.full(lm.IDS, before), every).astype(np.float64))
+        assert np.allclose(np.bincount(of, weights=p, minlength=lm.CLASSES)[np.unique(of)], 1, atol=1e-3)
+    k = key[some][5]
+    a, b = int(k >> 16), int(k & 0xFFFF)
+    mine = {int(x & 0xFFFF): int(n) for x, n in zip(key[some], count[some], strict=True) if x >> 16 == a and of[x & 0xFFFF] == of[b]}
+    total = sum(mine.values())
+    alone = (counts[b] + 0.5) / (counts + 0.5)[of == of[b]].sum()
+    want = (mine[b] - lm.DISCOUNT) / total + lm.DISCOUNT * len(mine) / total * alone
+    assert abs(np.exp(pairs.log_probs(np.array([a]), np.array([b]))[0]) - want) < 1e-6
+
+
+def test_op10_pair_counts(spark, docs, by_id):
+    out = {r["k"]: r["n"] for r in lm.pair_counts(lm.encoded(docs.select("doc_id", F.lit(False).alias("held_out"), F.lit(True).alias("teaches"), "text"), shared_dir(spark))).collect()}
+    want, enc = Counter(), encoder(lm.VOCABULARY)
+    for t in by_id.values():
+        x = [lm.BEGIN, *enc.tokenizer.encode(t or "", add_special_tokens=False).ids, lm.END]
+        want.update(a << 16 | b for a, b in zip(x, x[1:], strict=False))
+    assert out == want
+
+
+def test_op10_learns():
+    """Every place of every text is in a training window, and training lowers the loss below that of counts alone."""
+    ids, key, count, counts, of = parts_of(n=40_000)
+    symbol = lm.inputs_of(counts, of)
+    first = np.array([0, 11, 11 + 9_000, len(ids)])
+    x, y = lm.windows(ids, first, symbol, of)
+    assert (y.ravel()[: len(ids)] == of[ids]).all() and (x.ravel()[first[:-1]] == symbol[lm.BEGIN]).all() and (x.ravel()[1:11] == symbol[ids[:10]]).all()
+    turn = np.arange(20_000) * 7 % 60  # what comes next is certain from the id before
+    c = np.bincount(turn, minlength=lm.IDS)
+    of, symbol = np.minimum(np.arange(lm.IDS), lm.CLASSES - 1), lm.inputs_of(c, np.minimum(np.arange(lm.IDS), lm.CLASSES - 1))
+    x, y = lm.windows(turn, np.array([0, len(turn)]), symbol, of)
+    losses = lm.Model().train(iter([(x, y)] * 60), 0.05, 10)
+    assert losses[-1] < 0.5 < 3 < losses[0]
+
+
 def test_op10_windows():
-    rng = np.random.default_rng(0)
-    counts = rng.integers(0, 50, lm.IDS)
+    ids, key, count, counts, of = parts_of(1)
     model = lm.Model()
-    s = lm.Scorer(model, rng.integers(0, lm.CLASSES, lm.IDS), counts)
-    text = rng.integers(0, lm.IDS, 200)
-    one = s.texts([text])[0]
-    assert np.allclose(s.texts([text[:3], text, np.zeros(0, np.int64)])[1], one)
+    s = lm.Scorer(model, lm.inputs_of(counts, of), lm.Pairs(counts, of, key, count))
+    full = np.append(np.random.default_rng(0).integers(0, 700, 200), lm.END)
+    one = s.texts(full, np.array([0, len(full)]))[0]
+    assert np.allclose(s.texts(np.concatenate([full[:3], full, [lm.END]]), np.array([0, 3, 3 + len(full), 4 + len(full)]))[1], one, rtol=1e-5)
     # by hand: each id after the ids of its window
-    full, total = np.append(text, lm.END), 0.0
-    cls = s.of[np.concatenate([[lm.BEGIN], full])].astype(int)
+    before = np.concatenate([[lm.BEGIN], full[:-1]])
+    x, total = s.symbol[before], 0.0
     for t in range(len(full)):
         k = 0 if t < lm.CONTEXT else -(-(t - lm.CONTEXT + 1) // lm.STRIDE)
-        x = cls[k * lm.STRIDE : t + 1]
-        d = len(x) - 1 - np.arange(len(x))
-        a = model.eq[x[-1]] @ model.ek[x].T + model.b[d]
+        w = x[k * lm.STRIDE : t + 1]
+        a = model.eq[w[-1]] @ model.ek[w].T + model.b[len(w) - 1 - np.arange(len(w))]
         a = np.exp(a) / np.exp(a).sum()
-        z = (a @ model.ev[x] + model.e[x[-1]]) @ model.w + model.c
-        total += (z[cls[t + 1]] - np.log(np.exp(z).sum())) / np.log(10) + s.inner[full[t]]
-    assert abs(total - one) < 1e-2
+        z = (a @ model.ev[w] + model.e[w[-1]]) @ model.w + model.c
+        total += z[of[full[t]]] - np.log(np.exp(z).sum()) + s.pairs.log_probs(before[t : t + 1], full[t : t + 1])[0]
+    assert abs(total / np.log(10) - one) < 1e-2
 
 
 def test_op10_gradients():
     m = lm.Model()
     rng = np.random.default_rng(4)
-    x, y = rng.integers(0, lm.CLASSES, (2, lm.CONTEXT)), rng.integers(0, lm.CLASSES, (2, lm.CONTEXT))
+    x, y = rng.integers(0, lm.INPUTS + lm.CLASSES, (2, lm.CONTEXT)), rng.integers(0, lm.CLASSES, (2, lm.CONTEXT))
     for n in m.NAMES:
         setattr(m, n, getattr(m, n).astype(np.float64))
     m.settle()
