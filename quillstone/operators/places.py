@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.text import folded, haversine_km
 
 # Phrases (folded) that ask for a place, in the order in which they are tried.
-CUES = (
-    "terrain, elevation, region, location, how far, altitude, climate, latitude, longitude, hemisphere, in my area, coordinates, map of, sea level, which country, "
-    "what country, how high, nearest, which side, how cold, growing season, hardiness zone, rainfall, kilometres, whereabouts, clima, terreno, altitud, elevacion, "
-    "ubicacion, latitud, longitud, hemisferio, coordenadas, mapa de, nivel del mar, que pais, cual pais, que tan lejos, a que distancia, que tan alto, que altura, "
-    "que tan frio, kilometros, mas cercano, mas cercana, que lado, temporada de siembra, temporada de cultivo, zona de rusticidad, lluvias, en mi zona"
-).split(", ")
+CUES = [
+    "terrain", "elevation", "region", "location", "how far", "altitude", "climate", "latitude", "longitude", "hemisphere", "in my area", "coordinates",
+    "map of", "sea level", "which country", "what country", "how high", "nearest", "which side", "how cold", "growing season", "hardiness zone",
+    "rainfall", "kilometres", "whereabouts", "clima", "terreno", "altitud", "elevacion", "ubicacion", "latitud", "longitud", "hemisferio", "coordenadas",
+    "mapa de", "nivel del mar", "que pais", "cual pais", "que tan lejos", "a que distancia", "que tan alto", "que altura", "que tan frio", "kilometros",
+    "mas cercano", "mas cercana", "que lado", "temporada de siembra", "temporada de cultivo", "zona de rusticidad", "lluvias", "en mi zona",
+]
 # The shapes of where-is questions, over folded text.
 WHERE_IS = r"^where(?:\s*abouts)?\s*(?:\w+\s+){0,3}(?:is|are|was|were)\b"
 DONDE = r"^(?:a\s+)?donde\s*(?:\w+\s+){0,3}(?:queda|quedan|esta|estan|se encuentra|se encuentran)\b"

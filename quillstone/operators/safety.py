@@ -1,62 +1,27 @@
-"""Figures that a reader may act on, over tables. Texts go through functions.figures in Arrow batches."""
+"""Figures that a reader may act on, over tables: column expressions of functions.figures."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import astuple
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import figures
 
-_FOUND = "at int, until int, term string, category string, tier string, why string"
-
-
-def _arrow(schema: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}
-    return pa.schema([(n, kinds[t]) for n, t in (c.split(" ") for c in schema.split(", "))])
-
 
 def findings(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key (long), at, until, term, category, tier, why: a row for each finding. Null and empty texts have none."""
-    schema = f"{key} long, {_FOUND}"
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [(k, *astuple(f)) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for f in figures.scan(t)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, s.type) for c, s in zip(zip(*out, strict=True), _arrow(schema), strict=True)], schema=_arrow(schema))
-
-    return rows.select(rows[key].cast("long"), rows[text]).mapInArrow(found, schema)
+    """key, at, until, term, category, tier, why: a row for each finding. Null and empty texts have none."""
+    return rows.select(key, F.explode(figures.scan(F.col(text))).alias("f")).select(key, "f.*")
 
 
 def assessed(rows: DataFrame, keys: list[str], text: str, question: str | None = None) -> DataFrame:
-    """keys (longs) with level, categories and terms of a text and its question."""
-    schema = ", ".join([*(f"{k} long" for k in keys), "level string, categories array<string>, terms array<string>"])
-    n = len(keys)
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [figures.assess(t, q) for t, q in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *(pa.array([g[i] for g in got], s.type) for i, s in enumerate(list(_arrow(schema))[n:]))], schema=_arrow(schema))
-
+    """keys with level, categories and terms of a text and its question."""
     ask = F.col(question) if question else F.lit(None).cast("string")
-    return rows.select(*(F.col(k).cast("long") for k in keys), F.col(text), ask.alias("asked_")).mapInArrow(judged, schema)
+    return rows.select(*keys, figures.assess(F.col(text), ask).alias("a")).select(*keys, "a.*")
 
 
 def compared(rows: DataFrame, keys: list[str], one: str, other: str) -> DataFrame:
-    """keys (longs) with the state of two answers."""
-    schema = ", ".join([*(f"{k} long" for k in keys), "state string"])
-    n = len(keys)
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            states = [figures.compare(x, y) for x, y in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), pa.array(states, pa.string())], schema=_arrow(schema))
-
-    return rows.select(*(F.col(k).cast("long") for k in keys), one, other).mapInArrow(judged, schema)
+    """keys with the state of two answers."""
+    return rows.select(*keys, figures.compare(F.col(one), F.col(other)).alias("state"))
 
 
 def rates(found: DataFrame, rows: DataFrame, key: str, by: str) -> DataFrame:

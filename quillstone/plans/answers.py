@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import figures
+from ..functions import vocabulary as V
 from ..functions import text as T
 from ..operators import html, retrieval, safety, vectors
 from ..sources.tables import CHUNKS_SQL, chunks, table
@@ -26,12 +26,12 @@ def findings(spark, d):
     return safety.findings(t, "turn_id")
 
 
-@query("B4_intent", "WITH t AS (SELECT conv_id, turn, ' ' || " + FOLD_SQL(f"text || {DOSED}") + " || ' ' AS t FROM conversations WHERE role = 'user'), c(category, w) AS (VALUES " + ", ".join(f"('{c}', '{w}')" for c in figures.ASKABLE for w in figures.CONTEXT[c] if len(w) > 3) + ") SELECT conv_id, turn, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories FROM t JOIN c ON contains(t, ' ' || w || ' ') GROUP BY 1, 2")
+@query("B4_intent", "WITH t AS (SELECT conv_id, turn, ' ' || " + FOLD_SQL(f"text || {DOSED}") + " || ' ' AS t FROM conversations WHERE role = 'user'), c(category, w) AS (VALUES " + ", ".join(f"('{c}', '{w}')" for c in V.ASKABLE for w in V.CONTEXT[c] if len(w) > 3) + ") SELECT conv_id, turn, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories FROM t JOIN c ON contains(t, ' ' || w || ' ') GROUP BY 1, 2")
 def intent(spark, d):
     t = F.concat(F.lit(" "), T.folded(F.col("text")), F.lit(" "))
-    asks = lambda c: F.when(F.exists(F.array(*(F.lit(f" {w} ") for w in figures.CONTEXT[c] if len(w) > 3)), lambda w: F.col("t").contains(w)), c)
+    asks = lambda c: F.when(F.exists(F.array(*(F.lit(f" {w} ") for w in V.CONTEXT[c] if len(w) > 3)), lambda w: F.col("t").contains(w)), c)
     rows = _turns(spark, d).where("role = 'user'").select("conv_id", "turn", t.alias("t"))
-    return rows.select("conv_id", "turn", F.concat_ws(",", *map(asks, figures.ASKABLE)).alias("categories")).where("categories <> ''")
+    return rows.select("conv_id", "turn", F.concat_ws(",", *map(asks, V.ASKABLE)).alias("categories")).where("categories <> ''")
 
 
 @query("B5_assess")
@@ -55,21 +55,21 @@ def compare(spark, d):
 
 
 _SPELLED_SQL = "text || ' 10 mg per kilogram of body weight daily, 5 grams per ml'"
-for _p, _u in figures.SPELLINGS:
+for _p, _u in V.SPELLINGS:
     _SPELLED_SQL = f"regexp_replace({_SPELLED_SQL}, '{_p}', '{_u}', 'gi')"
 
 
 @query("N7_spelled_units", f"SELECT conv_id, turn, sha1(regexp_replace({_SPELLED_SQL}, '\\s*/\\s*', '/', 'g')) AS spelled FROM conversations")
 def spelled_units(spark, d):
     t = F.concat("text", F.lit(" 10 mg per kilogram of body weight daily, 5 grams per ml"))
-    for p, u in figures.SPELLINGS:
+    for p, u in V.SPELLINGS:
         t = F.regexp_replace(t, f"(?i){p}", u)
     return table(spark, d, "conversations").select("conv_id", "turn", F.sha1(F.regexp_replace(t, r"\s*/\s*", "/")).alias("spelled"))
 
 
-@query("N10_content_words", "SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(string_split(" + FOLD_SQL("text") + ", ' '), lambda w: length(w) > 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in sorted(figures.EMPTY)) + "], w)))), ' ') AS words FROM conversations")
+@query("N10_content_words", "SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(string_split(" + FOLD_SQL("text") + ", ' '), lambda w: length(w) > 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in sorted(V.EMPTY)) + "], w)))), ' ') AS words FROM conversations")
 def content_words(spark, d):
-    words = F.filter(F.split(T.folded(F.col("text")), " "), lambda w: (F.length(w) > 2) & ~w.isin(*sorted(figures.EMPTY)))
+    words = F.filter(F.split(T.folded(F.col("text")), " "), lambda w: (F.length(w) > 2) & ~w.isin(*sorted(V.EMPTY)))
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(F.array_distinct(words)), " ").alias("words"))
 
 

@@ -108,28 +108,43 @@ def test_readers(spark, tmp_path):
     assert sorted(map(tuple, tables.upsert(a, b, "id").collect())) == [(1, "a"), (2, "c")]
 
 
-def test_findings():
-    kinds = lambda t: [(f.text, f.category, f.tier) for f in figures.scan(t)]
-    assert kinds("500 mg/kg every 8 hours") == [("500 mg/kg", "dose", "hard"), ("every 8 hours", "dose", "hard")]
-    assert kinds("2 tablets") == [] and kinds("a dose of 2 tablets") == [("2 tablets", "dose", "lifted")]
-    assert kinds("11 pounds of it") == [] and kinds("11 pounds pressure") == [("11 pounds", "pressure", "lifted")]
-    assert kinds("in standard 5 V mistake") == []  # words in words are none
-    assert kinds("an LM317T regulator, COVID19 model") == [("LM317T", "part_number", "soft")]
-    assert kinds("smiles inchi kegg 5 mg") == [] and kinds(None) == kinds("") == []
-    for t in ["5 mg/kg mg 12 V battery 10 to 15 PSI every 6 hours", "é" * 50 + " 3 ml dose " + "x" * 10_000]:
-        spans = [(f.start, f.end) for f in figures.scan(t)]
-        assert spans and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
-    assert figures.assess("none", "what dose for a child")[0] == "possible" and figures.assess("5 mg")[0] == "present" and figures.assess(None)[0] == "none"
-
-
-def test_compare():
-    assert figures.compare("10 mg per kilogram of body weight", "around 10 mg/kg per dose") == "agree"
-    assert figures.compare("500 mg every 8 hours", "250 mg every 8 hours") == "disagree"
+def of_texts(spark, expression, *texts):
+    """An expression of a column t (or a and b) over texts (or pairs of them)."""
+    pairs = [t if isinstance(t, tuple) else (t, None) for t in texts]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(pairs)], "i int, a string, b string")
+    return [r["x"] for r in rows.select("i", expression(F.col("a"), F.col("b")).alias("x")).orderBy("i").collect()]
+
+
+def test_findings(spark):
+    long = ["5 mg/kg mg 12 V battery 10 to 15 PSI every 6 hours", "é" * 50 + " 3 ml dose " + "x" * 10_000]
+    texts = ["500 mg/kg every 8 hours", "2 tablets", "a dose of 2 tablets", "11 pounds of it", "11 pounds pressure", "in standard 5 V mistake", "an LM317T regulator, COVID19 model", "smiles inchi kegg 5 mg", None, "", "Take two cc by oral infusion, 3 mg/L cada 8 horas", "12 Nm 5 MA 7 mA 1 000 psi", "M8 bolt 5 kg dose", *long]
+    found = of_texts(spark, lambda a, b: figures.scan(a), *texts)
+    kinds = [[(f["term"], f["category"], f["tier"]) for f in x] for x in found]
+    assert kinds[:10] == [
+        [("500 mg/kg", "dose", "hard"), ("every 8 hours", "dose", "hard")], [], [("2 tablets", "dose", "lifted")], [], [("11 pounds", "pressure", "lifted")], [],
+        [("LM317T", "part_number", "soft")], [], [], [],
+    ]
+    # the first category of hard units has the number, cased units are read as they stand
+    assert kinds[10] == [("two cc", "dose", "lifted"), ("3 mg", "dose", "hard"), ("cada 8 horas", "dose", "hard")]
+    assert kinds[11] == [("12 Nm", "torque_tolerance", "hard"), ("7 mA", "electrical", "hard"), ("1 000 psi", "pressure", "hard")]
+    assert kinds[12] == [("M8", "part_number", "soft"), ("5 kg", "dose", "lifted")]
+    for t, x in zip(texts, found, strict=True):
+        assert all(t[f["at"] : f["until"]] == f["term"] for f in x) and all(a["until"] <= b["at"] for a, b in zip(x, x[1:], strict=False))
+    assert all(found[-2:])
+    judged = of_texts(spark, figures.assess, ("none", "what dose for a child"), ("5 mg", None), (None, None), ("5 mg 5 MG 6 mg", "a fuse of 3 psi"))
+    assert [j["level"] for j in judged] == ["possible", "present", "none", "present"]
+    assert judged[3]["terms"] == ["5 mg", "6 mg", "3 psi"] and judged[3]["categories"] == ["dose", "electrical", "pressure"]
+
+
+def test_compare(spark):
     absent, mark = "NOT IN ARCHIVE", "UNSOURCED - NOT FROM THE ARCHIVE"
-    assert figures.compare(absent, absent) == "both_unsupported" and figures.compare(absent, "yes") == "disagree"
-    assert figures.compare(f"{absent}\n{mark} 5 mg", absent) == "one_declined"
-    assert [figures.compare(f"{absent} {mark} {a}", f"{absent} {mark} {b}") for a, b in (("5 mg", "5 mg"), ("5 mg", "6 mg"), ("a", "b"))] == ["agree_unsourced", "disagree_unsourced", "no_basis_unsourced"]
-    assert figures.compare("", "") == figures.compare(None, "word") == "no_basis" and figures.compare("green apples fall", "apples fall green today") == "agree"
+    cases = [
+        (("10 mg per kilogram of body weight", "around 10 mg/kg per dose"), "agree"), (("500 mg every 8 hours", "250 mg every 8 hours"), "disagree"),
+        ((absent, absent), "both_unsupported"), ((absent, "yes"), "disagree"), ((f"{absent}\n{mark} 5 mg", absent), "one_declined"),
+        ((f"{absent} {mark} 5 mg", f"{absent} {mark} 5 mg"), "agree_unsourced"), ((f"{absent} {mark} 5 mg", f"{absent} {mark} 6 mg"), "disagree_unsourced"), ((f"{absent} {mark} a", f"{absent} {mark} b"), "no_basis_unsourced"),
+        (("", ""), "no_basis"), ((None, "word"), "no_basis"), (("green apples fall", "apples fall green today"), "agree"),
+    ]
+    assert of_texts(spark, figures.compare, *(c[0] for c in cases)) == [c[1] for c in cases]
 
 
 def test_safety_tables(spark):
