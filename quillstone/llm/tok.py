@@ -19,7 +19,7 @@ import regex
 from .common import SPACE, mix, span_hashes
 
 #: Segments, and ids of all segments, that a worker's table holds; those not used since the last clearing go first.
-CACHE, CACHE_IDS = 1_200_000, 8_000_000
+CACHE, CACHE_IDS = 800_000, 6_000_000
 #: Slots of the table of the segments met last, which most lookups end in.
 SLOTS = 1 << 17
 #: Bytes of new segments that go to the library as one string.
