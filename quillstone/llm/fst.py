@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .tok import Encoder, Recent, encoder, lowered, split
+from .tok import Encoder, Recent, byte_letters, encoder, lowered, split
 
 #: Characters of a chunk.
 CHUNK = 1 << 16
@@ -34,19 +34,6 @@ _MADE: dict[str, "Transducer"] = {}
 _SPACE = regex.compile(r"\s")
 
 
-def byte_letters() -> list[str]:
-    """The printable stand-in of each byte in byte-level vocabularies."""
-    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out, n = [""] * 256, 0
-    for b in range(256):
-        if b in keep:
-            out[b] = chr(b)
-        else:
-            out[b] = chr(256 + n)
-            n += 1
-    return out
-
-
 class Transducer:
     """Counts of a word's tokens; words are UTF-8 bytes between pre-token borders."""
 

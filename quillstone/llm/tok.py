@@ -1,6 +1,6 @@
 """Whole-text encoding by a public tokenizer, with a bounded table of segments.
 
-No token crosses a segment's borders, so the library encodes each distinct segment once. Texts are cut and looked up
+No token crosses a segment's borders, so the library's model encodes each distinct segment once. Texts are cut and looked up
 by 64-bit hashes of their segments in numpy, and joined from the table. Tests hold this against the library's own
 encode_batch.
 """
@@ -12,6 +12,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import regex
@@ -22,8 +23,6 @@ from .common import SPACE, mix, span_hashes
 CACHE, CACHE_IDS = 800_000, 6_000_000
 #: Slots of the table of the segments met last, which most lookups end in.
 SLOTS = 1 << 17
-#: Bytes of new segments that go to the library as one string.
-LEARN = 1 << 14
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CONTROL = re.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\s+")
@@ -32,6 +31,23 @@ _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _OPEN: dict[str, "Encoder"] = {}
 
 
+def byte_letters() -> list[str]:
+    """The printable stand-in of each byte in byte-level vocabularies."""
+    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, n = [""] * 256, 0
+    for b in range(256):
+        if b in keep:
+            out[b] = chr(b)
+        else:
+            out[b] = chr(256 + n)
+            n += 1
+    return out
+
+
+#: That of a space.
+SPACE_LETTER = byte_letters()[32]
+
+
 def release() -> None:
     """Drop this worker's encoders and their tables.
 
@@ -155,39 +171,26 @@ class Encoder:
         pre = self.spec["pre_tokenizer"]
         self.words = pre["type"] == "Sequence"
         self.pattern = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"] if self.words else BYTE_PATTERN)
-        # for segments, which are normalised already; a mark that is in none of them keeps them apart: a line end
-        # where white space is dropped (special strings in lower case are text there), else a special string
-        marks = [dict(self.spec["added_tokens"][0], content="\n")] if self.words else self.spec["added_tokens"]
-        self.bare = Tokenizer.from_str(json.dumps(self.spec | {"normalizer": None, "added_tokens": marks}))
-        self.mark = marks[0]["content"]
-        self.mark_id = self.bare.token_to_id(self.mark)
+        self.model = self.tokenizer.model
+        self.letters = dict(enumerate(byte_letters()))
         self.table = Segments()
         # special strings are entries of their own: a text's pieces never have their hashes
         self.special_hash = {k: mix(np.array([v + 1], np.uint64))[0] for k, v in self.special.items()}
 
+    def pieces(self, text: str) -> list[int]:
+        """Ids of one segment: the library's model on each of its pre-tokens."""
+        tokenize = self.model.tokenize
+        if text.isascii() and text.isprintable():  # all but a space stand for themselves
+            plain = text.replace(" ", SPACE_LETTER)
+            if text.isalpha() or (not self.words and text[1:].isalpha() and text[0] == " "):
+                return [t.id for t in tokenize(plain)]
+            return [t.id for x in self.pattern.findall(text) for t in tokenize(x.replace(" ", SPACE_LETTER))]
+        return [t.id for x in self.pattern.findall(text) for t in tokenize(x.encode().decode("latin-1").translate(self.letters))]
+
     def learn(self, raw: bytes, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        """Add segments, which the library encodes a string of many at a time."""
-        groups, size, part = [], 0, []
-        for s, e in zip(start.tolist(), end.tolist(), strict=True):
-            part.append(raw[s:e])
-            size += e - s
-            if size >= LEARN:
-                groups.append(part)
-                size, part = 0, []
-        if part:
-            groups.append(part)
-        mark = self.mark.encode()
-        flat, counts = [], []
-        for i in range(0, len(groups), 64):
-            for g, e in zip(groups[i : i + 64], self.bare.encode_batch_fast([mark.join(g).decode() for g in groups[i : i + 64]], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, np.uint32)
-                own = ids != self.mark_id
-                edge = np.flatnonzero(~own)
-                if len(edge) != len(g) - 1:
-                    raise ValueError("segments don't stay apart")
-                counts.append(np.diff(np.concatenate([[-1], edge, [len(ids)]])) - 1)
-                flat.append(ids[own])
-        self.table.add(h, np.concatenate(flat), np.concatenate(counts).astype(np.int64))
+        """Add segments."""
+        made = [self.pieces(raw[s:e].decode()) for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        self.table.add(h, np.fromiter(chain.from_iterable(made), np.uint32), np.fromiter(map(len, made), np.int64, len(made)))
 
     def chunks(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[tuple[int, str]]]:
         """Parts of all texts, the text of each, whether it is one segment as it stands, and which are special strings."""
