@@ -1,47 +1,144 @@
-"""BM25 over an inverted index."""
+"""BM25 over a stored index.
+
+An index is a folder: postings (term, key, tf, dl, places) in BUCKETS folders by the term's hash, sorted by term, and a
+table of totals with the stamp of the table that it was built from. A query reads the buckets of its terms alone, and in
+them the row groups that hold them. It is built beside its place and put there by a rename, so no reader sees half of one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_words, tokens
+from ..functions.text import ACCENTED, PLAIN, content_words
+from ..sources import store
+
+BUCKETS = 64
+
+
+def index_tokens(text: Column) -> Column:
+    """Runs of letters and digits in lower case, without the accents of Latin letters."""
+    return F.filter(F.split(F.translate(F.lower(text), ACCENTED, PLAIN), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def build(docs: DataFrame, path: str, key: str = "doc_id", stamp: str = "") -> None:
+    """Write the index of docs (key, text). One exchange of the words by term; equal words of a document meet behind it."""
+    spark = docs.sparkSession
+    building = f"{path}.building"
+    t = docs.select(F.col(key).alias("key"), index_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    words = t.select("key", F.size("t").alias("dl"), F.posexplode("t").alias("place", "term")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "term")
+    rows = words.groupBy("term", "key").agg(F.first("dl").alias("dl"), F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
+    rows.withColumn("bucket", bucket(F.col("term"))).sortWithinPartitions("bucket", "term").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{building}/postings")
+    totals = t.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("t")).alias("avgdl")).withColumn("stamp", F.lit(stamp))
+    totals.coalesce(1).write.mode("overwrite").parquet(f"{building}/totals")
+    store.swap(spark, building, path)
+
+
+class Index:
+    """A stored index; terms() reads what a query needs of it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.totals = spark.read.parquet(f"{path}/totals")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
 
+    def terms(self, asked: list[str]) -> DataFrame:
+        """Postings of the terms asked for: only their buckets are read."""
+        if not asked:
+            return self.postings.where("false")
+        b = {r["b"] for r in self.spark.createDataFrame([(t,) for t in asked], "t string").select(bucket(F.col("t")).alias("b")).collect()}
+        return self.postings.where(F.col("bucket").isin(*sorted(b)) & F.col("term").isin(*asked))
 
-def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """term, key, tf and the document's length dl."""
-    t = docs.select(key, tokens(F.col("text")).alias("t"))
-    return t.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
+def stored(docs: DataFrame, key: str = "doc_id") -> Index:
+    """The index of a table read from files, built unless one with its stamp is there."""
+    spark = docs.sparkSession
+    stamp = store.stamp(docs)
+    path = f"{store.shared(spark)}/quillstone-bm25-{key}-{stamp}"
+    if not store.exists(spark, f"{path}/totals/_SUCCESS"):
+        build(docs, path, key, stamp)
+    return Index(spark, path)
 
-def bm25(docs: DataFrame, queries: DataFrame, n: int = 10, key: str = "doc_id") -> DataFrame:
+
+def bm25(index: Index, queries: DataFrame, n: int = 10, key: str = "doc_id") -> DataFrame:
     """query_id, key, score, rank: the n best documents of each query (query_id, term), ties by key.
 
-    Scores are positive. Only postings of asked terms are built: the asked terms are joined to the exploded
-    words by broadcast if they are few, else by an exchange on the term.
+    Scores are positive. A term of several words (parted by underscores) is a phrase: its words stand side by side. The queries' terms
+    come to the driver to choose what is read; they are a page's questions, not a corpus.
     """
-    t = docs.select(key, tokens(F.col("text")).alias("t"))
-    # one row; lengths are counted in the same scan as the words
-    stats = t.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("t")).alias("avgdl"))
-    terms = queries.select("term").distinct()
-    hit = t.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms, "term").groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("f"))
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    asked = queries.withColumn("words", index_tokens(F.col("term"))).where(F.size("words") > 0)
+    terms = [r["w"] for r in asked.select(F.explode("words").alias("w")).distinct().collect()]
+    # a word's places less its number in the phrase: where all words of a phrase agree, it stands
+    parts = asked.select("query_id", "term", F.size("words").alias("n_words"), F.posexplode("words").alias("nth", "word"))
+    read = index.terms(terms).withColumnRenamed("term", "word").select("word", "key", "tf", "dl", "places")
+    single = parts.where("n_words = 1").select("query_id", "term", "word").join(read.drop("places"), "word").select("query_id", "term", "key", "dl", F.col("tf").alias("f"))
+    starts = parts.where("n_words > 1").join(read, "word").select("query_id", "term", "n_words", "key", "dl", F.explode(F.transform("places", lambda p: p - F.col("nth"))).alias("start"))
+    phrase = starts.groupBy("query_id", "term", "n_words", "key", "dl", "start").agg(F.count(F.lit(1)).alias("c")).where("c = n_words").groupBy("query_id", "term", "key", "dl").agg(F.count(F.lit(1)).cast("int").alias("f"))
+    hit = single.unionByName(phrase)
+    df = hit.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    scored = hit.join(df, "term").crossJoin(F.broadcast(stats)).join(queries, "term").groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
+    scored = hit.join(df, ["query_id", "term"]).crossJoin(F.broadcast(index.totals)).groupBy("query_id", F.col("key").alias(key)).agg(F.round(F.sum(part), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def snippets(index: Index, top: DataFrame, queries: DataFrame, docs: DataFrame, width: int = 18, key: str = "doc_id") -> DataFrame:
+    """query_id, key, snippet: width words of each result from the first place with most of the query's words within them."""
+    asked = queries.select("query_id", F.explode(index_tokens(F.col("term"))).alias("word")).distinct()
+    terms = [r["word"] for r in asked.select("word").distinct().collect()]
+    p = index.terms(terms).select(F.col("term").alias("word"), F.col("key").alias(key), "places")
+    hits = top.select("query_id", key).join(asked, "query_id").join(p, ["word", key]).groupBy("query_id", key).agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("p"))
+    count = F.transform("p", lambda a: F.struct((-F.size(F.filter("p", lambda b: (b >= a) & (b < a + width)))).alias("n"), a.alias("at")))
+    at = hits.select("query_id", key, F.array_min(count)["at"].alias("at"))
+    text = docs.select(key, index_tokens(F.col("text")).alias("t"))
+    return at.join(text, key).select("query_id", key, F.array_join(F.slice("t", F.col("at") + 1, width), " ").alias("snippet"))
+
+
+def scoped(index: Index, topic: list[str], place: list[str], key: str = "doc_id") -> DataFrame:
+    """key of documents with a word of the topic and one of the place."""
+    words = lambda w: index.terms(w).select(F.col("key").alias(key)).distinct()
+    return words(topic).join(words(place), key, "left_semi")
+
+
+def keyword(index: Index, queries: DataFrame, place: list[str], n: int = 10, scoped_first: bool = False, key: str = "doc_id") -> DataFrame:
+    """Results of a keyword search; scoped_first puts those that name the place before the others, without repeats."""
+    if not scoped_first:
+        return bm25(index, queries, n, key)
+    terms = [r["term"] for r in queries.select("term").distinct().collect()]
+    inside = scoped(index, terms, place, key).withColumn("inside", F.lit(1))
+    # what is scoped has no bound but its own number, so the rank is taken over all results
+    every = bm25(index, queries, 2**31 - 1, key).join(inside, key, "left")
+    order = Window.partitionBy("query_id").orderBy(F.col("inside").isNull(), F.asc("rank"))
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("inside")
+
+
 def followup(own: Column, earlier: Column, carry: int = 8, most: int = 2) -> Column:
     """A follow-up's own words and up to carry new ones from the questions before; null if it stands alone or gains none."""
     extra = F.slice(F.array_except(F.array_distinct(earlier), own), 1, carry)
     return F.when((F.size(own) <= most) & (F.size(extra) > 0), F.array_join(F.concat(own, extra), " "))
 
 
+def previous(questions: Column, most: int = 2, length: int = 400) -> Column:
+    """The first of the questions before, cut and trimmed; what is empty then goes."""
+    return F.filter(F.transform(F.slice(questions, 1, most), lambda q: F.trim(F.substring(F.coalesce(q, F.lit("")), 1, length))), lambda q: q != "")
+
+
 def thread_words(turns: DataFrame) -> DataFrame:
     """conv_id, turn, own and earlier content words of user turns; the two questions before, the latest first."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     q = turns.where("role = 'user'").select("conv_id", "turn", "text", F.lag("text", 1).over(w).alias("p1"), F.lag("text", 2).over(w).alias("p2"))
     cut = lambda c: content_words(F.trim(F.substring(F.coalesce(c, F.lit("")), 1, 400)))
     return q.select("conv_id", "turn", content_words(F.col("text")).alias("own"), F.concat(cut(F.col("p1")), cut(F.col("p2"))).alias("earlier"))
+
+
+def pool_size(n: Column, times: int = 8, least: int = 40) -> Column:
+    """Candidates that a page of n results is filled from."""
+    return F.greatest(n * times, F.lit(least))

@@ -7,7 +7,8 @@ from math import pi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import folded, haversine_km
+from ..functions.text import folded
+from .gazetteer import near_points
 
 # Phrases (folded) that ask for a place, in the order in which they are tried.
 CUES = [
@@ -20,8 +21,7 @@ CUES = [
 # The shapes of where-is questions, over folded text.
 WHERE_IS = r"^where(?:\s*abouts)?\s*(?:\w+\s+){0,3}(?:is|are|was|were)\b"
 DONDE = r"^(?:a\s+)?donde\s*(?:\w+\s+){0,3}(?:queda|quedan|esta|estan|se encuentra|se encuentran)\b"
-#: Kilometres in a degree of latitude.
-DEGREE = 6371.0 * pi / 180
+
 
 
 def cue(question: Column) -> Column:
@@ -39,16 +39,13 @@ def tile_point(z: Column, x: Column, y: Column, px: Column, py: Column, extent:
 
 
 def within(points: DataFrame, named: DataFrame, km: float) -> DataFrame:
-    """Each point (lat, lon) with the named rows within km, and their distance. Both sides' other columns differ.
-
-    An equi join on bands of latitude as high as the distance: a point looks into its own band and those beside it,
-    so no side is broadcast and a band's rows meet only their neighbours.
-    """
-    band = lambda c: F.floor(F.col(c) / (km / DEGREE))
-    left = points.withColumn("band_", F.explode(F.array(*(band("lat") + i for i in (-1, 0, 1)))))
-    right = named.withColumnsRenamed({"lat": "lat_", "lon": "lon_"}).withColumn("band_", band("lat_"))
-    far = haversine_km(F.col("lat"), F.col("lon"), F.col("lat_"), F.col("lon_"))
-    return left.join(right, "band_").withColumn("km", far).where(F.col("km") <= km).drop("band_")
+    """Each point (lat, lon) with the named rows within km, and their distance, by cells of both coordinates."""
+    return near_points(points, named, km)
+
+
+def in_box(lat: Column, lon: Column, at_lat: float, at_lon: float, dlat: float, dlon: float) -> Column:
+    """Whether a point is within so many degrees of another one; longitudes wrap."""
+    return lat.between(at_lat - dlat, at_lat + dlat) & (F.abs(F.pmod(lon - at_lon + 180.0, F.lit(360.0)) - 180.0) <= dlon)
 
 
 def climate_change(seq: Column) -> Column:

@@ -43,3 +43,8 @@ def seeded_sample(rows: DataFrame, by: str, key: str, k: int, seed: str) -> Data
     """k rows of each group in the order of md5(seed|key)."""
     w = Window.partitionBy(by).orderBy(F.md5(F.concat(F.lit(seed + "|"), F.col(key).cast("string"))), key)
     return rows.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= k)
+
+
+def shared_paths(mine: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
+    """mine, theirs: keys of rows of two artifacts with one path. A path that very many rows of both sides have is a pair of each."""
+    return mine.select(F.col(key).alias("mine"), "path").join(theirs.select(F.col(key).alias("theirs"), "path"), "path").drop("path")

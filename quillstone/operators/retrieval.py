@@ -39,6 +39,12 @@ def agreement(in_both: Column) -> Column:
     return F.when(in_both == 0, "low").when(in_both <= 2, "weak").otherwise("good")
 
 
+def mode_ran(mode: Column, vectors_there: Column) -> tuple[Column, Column]:
+    """The mode that runs, and whether it isn't the one asked for: without vectors there are keywords alone."""
+    lacks = mode.isin("dense", "hybrid") & ~vectors_there
+    return F.when(lacks, "keyword").otherwise(mode), lacks
+
+
 OUTCOME = "query_id int, rank int, outcome string"
 
 

@@ -119,3 +119,23 @@ def pq_search(vectors: DataFrame, queries: DataFrame, k: int, depth: int = 400,
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     scored = near.join(v, "vec_id").join(q, "query_id").select("query_id", "vec_id", F.round(exact, 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """The rows with their place from 0 in an order: sorted in ranges, each of which begins where those before it end."""
+    from pyspark.sql import Window
+
+    ranged = rows.orderBy(*order).withColumn("part_", F.spark_partition_id())
+    w = Window.partitionBy("part_").orderBy(*order)
+    ranged = ranged.withColumn("in_", F.row_number().over(w) - 1)
+    sizes = ranged.groupBy("part_").agg(F.count(F.lit(1)).alias("size_"))
+    # a row for each partition
+    before = sizes.withColumn("before_", F.coalesce(F.sum("size_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return ranged.join(before, "part_").withColumn(name, (F.col("before_") + F.col("in_")).cast("long")).drop("part_", "in_", "size_", "before_")
+
+
+def gather(rows: DataFrame, wanted: DataFrame, key: str = "row") -> DataFrame:
+    """The rows of some numbers; a number beyond the last raises when they are read."""
+    got = wanted.join(rows.withColumn("there_", F.lit(True)), key, "left")
+    ok = F.when(F.col("there_").isNull(), F.raise_error(F.concat(F.lit("no row "), F.col(key).cast("string")))).otherwise(F.col(key))
+    return got.withColumn(key, ok).drop("there_")

@@ -16,6 +16,7 @@ STOP_SQL = "[" + ", ".join(f"'{w}'" for w in T.STOP) + "]"
 TERMS_SQL = lambda c: f"list_filter(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1)"
 CONTENT_SQL = lambda c: f"(CASE WHEN len(list_filter({TERMS_SQL(c)}, lambda w: NOT list_contains({STOP_SQL}, w))) > 0 THEN list_filter({TERMS_SQL(c)}, lambda w: NOT list_contains({STOP_SQL}, w)) ELSE {TERMS_SQL(c)} END)[1:24]"
 TOKENS_SQL = lambda c: f"list_filter(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+INDEX_SQL = lambda c: f"list_filter(string_split_regex(translate(lower({c}), '{T.ACCENTED}', '{T.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 COLLAPSE_SQL = lambda c: f"trim(regexp_replace({c}, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))"
 WORDS_SQL = lambda c: f"list_filter(string_split_regex({c}, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')"
 
@@ -35,7 +36,7 @@ def asked(spark, *terms):
 
 
 BM25_SQL = f"""
-WITH t AS (SELECT doc_id, {TOKENS_SQL('text')} AS t FROM documents), s AS (SELECT count(*) AS N, avg(len(t)) AS avgdl FROM t),
+WITH t AS (SELECT doc_id, {INDEX_SQL('text')} AS t FROM documents), s AS (SELECT count(*) AS N, avg(len(t)) AS avgdl FROM t),
 q(query_id, term) AS (VALUES (0, 'water'), (0, 'for'), (0, 'the'), (1, 'elle'), (1, 'dans'), (2, 'und'), (2, 'nicht'), (2, 'that')),
 p AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM t), h AS (SELECT term, doc_id, dl, count(*) AS f FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 d AS (SELECT term, count(*) AS df FROM h GROUP BY 1),
@@ -47,13 +48,13 @@ SELECT query_id, doc_id, score, rank, source || '#' || doc_id AS citation FROM r
 @query("L3_bm25_topk", BM25_SQL)
 def bm25(spark, d):
     docs = table(spark, d, "documents")
-    top = lexical.bm25(docs, asked(spark, ["water", "for", "the"], ["elle", "dans"], ["und", "nicht", "that"]))
+    top = lexical.bm25(lexical.stored(docs), asked(spark, ["water", "for", "the"], ["elle", "dans"], ["und", "nicht", "that"]))
     return top.join(docs.select("doc_id", "source"), "doc_id").select("query_id", "doc_id", "score", "rank", F.concat_ws("#", "source", F.col("doc_id").cast("string")).alias("citation"))
 
 
-@query("A7_index_stats", f"WITH t AS (SELECT doc_id, {TOKENS_SQL('text')} AS t FROM documents), p AS (SELECT doc_id, unnest(t) AS term FROM t) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM p GROUP BY 1")
+@query("A7_index_stats", f"WITH t AS (SELECT doc_id, {INDEX_SQL('text')} AS t FROM documents), p AS (SELECT doc_id, unnest(t) AS term FROM t) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM p GROUP BY 1")
 def index_stats(spark, d):
-    return lexical.postings(table(spark, d, "documents")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return lexical.stored(table(spark, d, "documents")).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 @query("L1_query_terms", f"""SELECT conv_id, turn, CASE WHEN len({CONTENT_SQL('text')}) > 0 THEN array_to_string(list_transform({CONTENT_SQL('text')}, lambda w: '"' || w || '"'), ' OR ') END AS terms FROM conversations WHERE role = 'user'""")
@@ -70,11 +71,9 @@ def followup(spark, d):
     return lexical.thread_words(table(spark, d, "conversations")).select("conv_id", "turn", lexical.followup(F.col("own"), F.col("earlier")).alias("retrieval"))
 
 
-@query("L6_scoped", f"WITH t AS (SELECT doc_id, {TOKENS_SQL('text')} AS t FROM documents) SELECT doc_id FROM t WHERE list_has_any(t, ['the', 'elle']) AND list_has_any(t, ['nicht', 'dans', 'water'])")
+@query("L6_scoped", f"WITH t AS (SELECT doc_id, {INDEX_SQL('text')} AS t FROM documents) SELECT doc_id FROM t WHERE list_has_any(t, ['the', 'elle']) AND list_has_any(t, ['nicht', 'dans', 'water'])")
 def scoped(spark, d):
-    t = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
-    any_ = lambda *w: F.arrays_overlap("t", F.array(*map(F.lit, w)))
-    return t.where(any_("the", "elle") & any_("nicht", "dans", "water")).select("doc_id")
+    return lexical.scoped(lexical.stored(table(spark, d, "documents")), ["the", "elle"], ["nicht", "dans", "water"])
 
 
 @query("A1_exact_dup", f"WITH {CHUNKS_SQL}, h AS (SELECT src, count(*) - 1 AS extra FROM chunks GROUP BY src, sha1({COLLAPSE_SQL('text')})) SELECT src, sum(extra)::BIGINT AS duplicates FROM h GROUP BY 1")

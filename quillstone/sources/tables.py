@@ -36,5 +36,18 @@ def read_scope(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of both by key; where both have it, new's row stays."""
-    return new.unionByName(old.join(new.select(key), key, "left_anti"))
+    """Rows of both by key; where both have it, new's row stays; of several new rows of one key one does."""
+    one = new.dropDuplicates([key])
+    return one.unionByName(old.join(one.select(key), key, "left_anti"))
+
+
+def without(rows: DataFrame, excluded: DataFrame, key: str = "cid") -> DataFrame:
+    """Rows whose key isn't on a list."""
+    return rows.join(excluded.select(key).distinct(), key, "left_anti")
+
+
+def fetch(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of some keys; a key without a row raises when the rows are read."""
+    known = ids.select(key).distinct().join(rows.withColumn("there_", F.lit(True)), key, "left")
+    there = F.when(F.col("there_").isNull(), F.raise_error(F.concat(F.lit("no row for "), F.col(key).cast("string")))).otherwise(F.col(key))
+    return known.withColumn(key, there).drop("there_")
