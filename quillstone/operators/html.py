@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SILENT = {"script", "style", "noscript"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -204,3 +205,11 @@ def table_share(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("page_id"), *(pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], [])))], ["page_id", "chars", "table_chars", "tables"])
 
     return pages.select(pages["page_id"].cast("long"), "html").mapInArrow(rows, "page_id long, chars long, table_chars long, tables long")
+
+
+def entries(pages: DataFrame, least: int = 50) -> tuple[DataFrame, DataFrame]:
+    """page_id, title, text of pages with text enough, and counts: entries, kept, stubs."""
+    read = html_to_text(pages)
+    long = F.length("text") >= least
+    stats = read.agg(F.count(F.lit(1)).alias("entries"), F.count(F.when(long, 1)).alias("kept"), F.count(F.when(~long, 1)).alias("stubs"))
+    return read.where(long), stats

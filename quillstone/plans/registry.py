@@ -8,6 +8,7 @@ from . import library as _library  # noqa: F401
 from . import places as _places  # noqa: F401
 from . import queries as _queries
 from . import retrieval as _retrieval  # noqa: F401
+from . import sources as _sources  # noqa: F401
 
 
 def queries():

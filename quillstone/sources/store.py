@@ -57,3 +57,11 @@ def swap(spark: SparkSession, building: str, path: str) -> None:
         fs.delete(old, True)
     if not fs.rename(new, old):
         raise OSError(f"{building} can't be renamed")
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write one small file."""
+    fs, p = _files(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(data))
+    out.close()
