@@ -148,3 +148,82 @@ def suggest(rows: DataFrame, asked: DataFrame, most: int = 3, least: float = 2.0
     scored = scored.select("query_id", "id", "hits", F.round(F.col("s") * F.when(F.col("lang") == F.col("ql"), 1.25).when(F.col("lang").isin("mul", ""), 1.1).otherwise(0.85), 2).alias("score")).where(F.col("score") >= least)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("hits"), "id")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
+def extrapolate(rows: DataFrame) -> DataFrame:
+    """file, density (chunks a document), est_chunks: what all documents (chunks, seen) of a file have, if they are as those that were seen."""
+    g = rows.groupBy("file").agg(F.sum(F.when(F.col("seen"), F.col("chunks"))).alias("c"), F.count(F.when(F.col("seen"), 1)).alias("n"), F.count(F.lit(1)).alias("every")).where("n > 0")
+    return g.select("file", F.round(F.col("c") / F.col("n"), 6).alias("density"), F.round(F.col("c") * F.col("every") / F.col("n"), 3).alias("est_chunks"))
+
+
+#: Order of states of rows that are offered.
+OFFERED = ["amber", "grey", "red"]
+
+
+def offered(scored: DataFrame, rows: DataFrame, most: int = 3, least: float = 2.0, share: float = 0.5) -> DataFrame:
+    """query_id, id, score, place, fallback: what is offered to a question, of scores (query_id, ql, id, score, hits) and rows (id, state, bytes, lang, topics, suggest).
+
+    Rows that are searchable already are never offered, but the best of them sets how much better others have to be. Where nothing is left and
+    no searchable row comes up to the least score, the encyclopedia in the question's language is, if it isn't there yet.
+    """
+    s = scored.join(rows.where("suggest"), "id")
+    best = s.where("state = 'green'").groupBy("query_id").agg(F.max("score").alias("covered"))
+    s = s.where(F.col("state").isin(OFFERED)).join(best, "query_id", "left").where(F.col("score") >= F.greatest(F.lit(least), share * F.coalesce("covered", F.lit(0.0))))
+    rank = F.array_position(F.array(*map(F.lit, OFFERED)), F.col("state"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("hits"), rank, F.coalesce("bytes", F.lit(0)), "id")
+    out = s.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("query_id", "id", "score", "place", F.lit(False).alias("fallback"))
+    asked = scored.select("query_id", "ql").distinct().join(out.select("query_id").distinct(), "query_id", "left_anti").join(best, "query_id", "left").where(F.coalesce("covered", F.lit(0.0)) < least)
+    book = rows.where(F.col("suggest") & F.col("state").isin(OFFERED) & (F.col("topics") == F.array(F.lit("reference")))).groupBy(F.col("lang").alias("ql")).agg(F.min("id").alias("id"))
+    return out.unionByName(asked.join(book, "ql").select("query_id", "id", F.lit(0.0).alias("score"), F.lit(1).alias("place"), F.lit(True).alias("fallback")))
+
+
+def wants_suggestion(grounding: Column, results: Column) -> Column:
+    """Whether a question is offered books: nothing was found, or the answer doesn't stand on the library."""
+    return (results == 0) | grounding.isin("unsourced", "uncovered", "model_only")
+
+
+def with_topics(rows: DataFrame, topics: DataFrame) -> DataFrame:
+    """The rows (id) with their topics, empty where a row has none."""
+    return rows.join(topics, "id", "left").select("id", F.coalesce("topics", F.lit("")).alias("topics"), F.col("topics").isNotNull().alias("known"))
+
+
+def newest_match(commits: DataFrame, by: str) -> DataFrame:
+    """by, sha, exact: the newest commit (sha, day, matches, score) that matches, else the one with the best score."""
+    hit = F.max_by("sha", F.when(F.col("matches"), F.struct("day", "sha")))
+    near = F.max_by("sha", F.struct("score", -F.col("sha")))
+    return commits.groupBy(by).agg(F.coalesce(hit, near).alias("sha"), F.max("matches").alias("exact"))
+
+
+def library_faults(rows: DataFrame) -> DataFrame:
+    """fault, what: keys of more than one book, paths that aren't absolute, and files that aren't there (name, key, path, there)."""
+    twice = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("twice").alias("fault"), F.col("key").alias("what"))
+    own = F.filter(F.array(F.when(~F.col("path").startswith("/"), "relative"), F.when(~F.col("there"), "gone")), lambda f: f.isNotNull())
+    return twice.unionByName(rows.select(F.explode(own).alias("fault"), F.col("name").alias("what")))
+
+
+#: Bytes of a vector in the retired store.
+STORED = 4287
+
+
+def store_size(chunks: Column, cap: Column, spec: Column, width: Column) -> tuple[Column, Column]:
+    """Whether a store of whole vectors stays below a cap, and the bytes of a vector by the spec of its codes (PQ64, PQ32x4, or whole)."""
+    parts, bits = F.regexp_extract(spec, r"PQ(\d+)(?:x(\d+))?$", 1), F.regexp_extract(spec, r"PQ(\d+)(?:x(\d+))?$", 2)
+    coded = parts.try_cast("double") * F.coalesce(bits.try_cast("double"), F.lit(8.0)) / 8.0
+    return chunks * STORED <= cap, F.coalesce(coded, width.cast("double") * 4)
+
+
+def hours(rows: DataFrame, by: str, page: float, chunk: float) -> DataFrame:
+    """by, hours: pages are charged where their number is known, else chunks."""
+    cost = F.when(F.col("pages").isNotNull(), F.col("pages") * page).otherwise(F.col("chunks") * chunk)
+    return rows.groupBy(by).agg(F.round(F.sum(cost) / 3600, 6).alias("hours"))
+
+
+def tiles(topics: DataFrame) -> DataFrame:
+    """topic and a line of its counts, for topics that have any."""
+    some = lambda c, what: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {what}")))
+    return topics.where("green + amber > 0").select("topic", F.concat_ws(", ", some("green", "searchable"), some("amber", "browsable")).alias("line"))
+
+
+def coverage_gaps(registry: DataFrame, stamp: DataFrame) -> DataFrame:
+    """file, missing: whether an index lacks a file's rows, or has another number of them."""
+    return registry.join(stamp, "file", "left").select("file", F.coalesce(F.col("rows") != F.col("chunks"), F.lit(True)).alias("missing"))

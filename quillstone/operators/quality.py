@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapsed, prose_score, shingles
+from ..sources import store
 
 
 def keyed(chunks: DataFrame) -> DataFrame:
@@ -15,12 +16,16 @@ def keyed(chunks: DataFrame) -> DataFrame:
 
 def filter_reasons(chunks: DataFrame, least: int = 50, low_prose: float | None = None, across: bool = True) -> DataFrame:
     """reason of each chunk: boiler (an opening that least chunks share), lowprose, dup (an earlier equal text), or null: kept."""
-    rows = keyed(chunks)
+    spark, where = chunks.sparkSession, store.scratch(chunks.sparkSession, "keys")
+    # digests are made once and written narrow; what they are compared by is read three times
+    keyed(chunks).select("src", "dnum", "i", "cid", "h", "opening", "prose").write.parquet(where)
+    rows = spark.read.parquet(where)
     by = [] if across else ["src"]
     # counts are joined rather than windowed: partial sums meet, not all rows of a common opening
-    counts = rows.groupBy(*by, "opening").agg(F.count(F.lit(1)).alias("c"))
-    first = rows.groupBy(*by, "h").agg(F.min(F.struct("src", "dnum", "i")).alias("first"))
-    rows = rows.join(counts, [*by, "opening"]).join(first, [*by, "h"])
+    counts = rows.groupBy(*by, "opening").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
+    # only texts that occur again have an earlier one: unique rows meet nothing
+    first = rows.groupBy(*by, "h").agg(F.min(F.struct("src", "dnum", "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = rows.join(counts, [*by, "opening"], "left").join(first, [*by, "h"], "left")
     low = (F.col("prose") < low_prose) if low_prose is not None else F.lit(False)
     reason = F.when(F.col("c") >= least, "boiler").when(low, "lowprose").when(F.struct("src", "dnum", "i") != F.col("first"), "dup")
     return rows.select("src", "dnum", "i", "cid", reason.alias("reason"))
@@ -48,3 +53,11 @@ def seeded_sample(rows: DataFrame, by: str, key: str, k: int, seed: str) -> Data
 def shared_paths(mine: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
     """mine, theirs: keys of rows of two artifacts with one path. A path that very many rows of both sides have is a pair of each."""
     return mine.select(F.col(key).alias("mine"), "path").join(theirs.select(F.col(key).alias("theirs"), "path"), "path").drop("path")
+
+
+def percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """by and, for each share q, the value at place min(n - 1, int(n * q)) of all values in order. Counts of values are ordered, not rows."""
+    c = rows.groupBy(by, F.col(value).alias("v_")).agg(F.count(F.lit(1)).alias("c_"))
+    c = c.withColumns({"upto_": F.sum("c_").over(Window.partitionBy(by).orderBy("v_")), "n_": F.sum("c_").over(Window.partitionBy(by))})
+    at = lambda q: F.min(F.when(F.col("upto_") >= F.least(F.col("n_"), F.floor(F.col("n_") * q) + 1), F.col("v_")))
+    return c.groupBy(by).agg(*(at(q).alias(name) for name, q in shares.items()))

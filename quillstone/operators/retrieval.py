@@ -45,6 +45,14 @@ def mode_ran(mode: Column, vectors_there: Column) -> tuple[Column, Column]:
     return F.when(lacks, "keyword").otherwise(mode), lacks
 
 
+def backend(order: list[tuple[str, Column]]) -> tuple[Column, Column]:
+    """The first backend that is there, none without one, and whether it isn't the first."""
+    out = F.lit("none")
+    for name, there in reversed(order):
+        out = F.when(there, name).otherwise(out)
+    return out, out != order[0][0]
+
+
 OUTCOME = "query_id int, rank int, outcome string"
 
 

@@ -73,11 +73,11 @@ def content_words(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(F.array_distinct(words)), " ").alias("words"))
 
 
-@query("N6_messages", f"WITH r AS (SELECT conv_id, turn, {COLLAPSE_SQL('text')} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) SELECT conv_id, sha1(string_agg('[' || k || '] turn ' || turn || chr(10) || t[1:200] || CASE WHEN length(t) > 200 THEN ' ... [passage truncated at 200 characters]' ELSE '' END, chr(10) || chr(10) ORDER BY k)) AS body FROM r WHERE k <= 5 GROUP BY 1")
+@query("N6_messages", f"WITH r AS (SELECT conv_id, turn, {COLLAPSE_SQL("CASE WHEN turn % 3 = 0 THEN repeat(text || ' ', 20) ELSE text END")} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) SELECT conv_id, sha1(string_agg('[' || k || '] turn ' || turn || chr(10) || t[1:4000] || CASE WHEN length(t) > 4000 THEN ' ... [passage truncated at 4000 characters]' ELSE '' END, chr(10) || chr(10) ORDER BY k)) AS body FROM r WHERE k <= 5 GROUP BY 1")
 def messages(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
-    r = table(spark, d, "conversations").select("conv_id", "turn", T.collapsed(F.col("text")).alias("t"), F.row_number().over(w).alias("k")).where("k <= 5")
-    one = F.concat(F.lit("["), "k", F.lit("] turn "), "turn", F.lit("\n"), F.substring("t", 1, 200), F.when(F.length("t") > 200, " ... [passage truncated at 200 characters]").otherwise(""))
+    r = table(spark, d, "conversations").select("conv_id", "turn", T.collapsed(F.expr("CASE WHEN turn % 3 = 0 THEN repeat(text || ' ', 20) ELSE text END")).alias("t"), F.row_number().over(w).alias("k")).where("k <= 5")
+    one = F.concat(F.lit("["), "k", F.lit("] turn "), "turn", F.lit("\n"), F.substring("t", 1, 4000), F.when(F.length("t") > 4000, " ... [passage truncated at 4000 characters]").otherwise(""))
     parts = r.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", one.alias("p")))).alias("p"))
     return parts.select("conv_id", F.sha1(F.array_join("p.p", "\n\n")).alias("body"))
 
@@ -135,7 +135,7 @@ def page_assembly(spark, d):
 
 @query("R6_suppressed")
 def suppressed(spark, d):
-    return retrieval.page(_pool(spark, d), 20).groupBy("query_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    return retrieval.page(_pool(spark, d), 20).where("outcome <> 'beyond'").groupBy("query_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 NAV_SQL = f"(len({WORDS_SQL('text')}) > 40 AND len(list_distinct({WORDS_SQL('lower(text)')})) / len({WORDS_SQL('text')}) < 0.35)"

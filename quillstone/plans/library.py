@@ -57,15 +57,6 @@ def row_title(spark, d):
     return table(spark, d, "part").select("p_partkey", T.row_title(F.when(s % 2 == 0, F.col("p_type")), F.when(s % 3 == 0, F.concat("p_name", F.lit(": about"))), F.col("p_brand")).alias("title"))
 
 
-@query("T12_pretty_title", "WITH s AS (SELECT doc_id, source, unnest(range(0, len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n, unnest(string_split(text, chr(10))) AS t FROM documents), b AS (SELECT doc_id, first(t ORDER BY length(t) % 17 DESC, i) AS top FROM s WHERE trim(t) <> '' AND 2 * i < n GROUP BY 1) SELECT doc_id, coalesce(CASE WHEN doc_id % 4 = 0 THEN source END, top, 'doc-' || doc_id) AS title FROM documents LEFT JOIN b USING (doc_id)")
-def pretty_title(spark, d):
-    lines = F.split("text", "\n")
-    s = table(spark, d, "documents").select("doc_id", "source", F.size(lines).alias("n"), F.posexplode_outer(lines).alias("i", "t"))
-    top = F.max_by("t", F.when((F.trim("t") != "") & (2 * F.col("i") < F.col("n")), F.struct(F.length("t") % 17, -F.col("i"))))
-    b = s.groupBy("doc_id").agg(F.first("source").alias("source"), top.alias("top"))
-    return b.select("doc_id", F.coalesce(F.when(F.col("doc_id") % 4 == 0, F.col("source")), "top", F.concat(F.lit("doc-"), "doc_id")).alias("title"))
-
-
 # -- rows, files and editions
 
 
@@ -132,7 +123,7 @@ def tree_match(spark, d):
 @query("U3_tree_difference", f"WITH {_TREES} SELECT path, 'missing' AS side FROM (SELECT path FROM a EXCEPT SELECT path FROM b) UNION ALL SELECT path, 'new' FROM (SELECT path FROM b EXCEPT SELECT path FROM a)")
 def tree_difference(spark, d):
     a, b = _trees(spark, d)
-    return a.select("path").exceptAll(b.select("path")).withColumn("side", F.lit("missing")).unionByName(b.select("path").exceptAll(a.select("path")).withColumn("side", F.lit("new")))
+    return a.select("path").subtract(b.select("path")).withColumn("side", F.lit("missing")).unionByName(b.select("path").subtract(a.select("path")).withColumn("side", F.lit("new")))
 
 
 @query("M11_pin_state", "WITH p AS (SELECT p_partkey AS id, CASE WHEN p_size % 4 <> 0 THEN p_size END AS pinned, CASE WHEN p_size % 3 <> 0 THEN p_size - (p_size % 7 = 1)::INT END AS found FROM part) SELECT CASE WHEN found IS NULL THEN 'UNPINNED' WHEN pinned IS NULL THEN 'PINNED' WHEN pinned = found THEN 'CONFIRMED' ELSE 'DISAGREES' END AS state, count(*) AS n FROM p GROUP BY 1")
@@ -155,11 +146,13 @@ def index_state(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), corpus.index_state(F.when(s % 5 != 0, s % 3), s % 2).alias("state"))
 
 
-@query("M27_repair_verify", "SELECT count(*) FILTER (lang IS DISTINCT FROM lang OR n_chars IS DISTINCT FROM n_chars) AS changed, count(*) FILTER (regexp_replace(text, '[\\x00-\\x08\\x0e-\\x1f]', ' ', 'g') IS DISTINCT FROM text) AS repaired, 0::BIGINT AS missing FROM documents")
+_AFTER = ["doc_id + CASE WHEN doc_id % 23 = 0 THEN 1000000000 ELSE 0 END AS doc_id", "CASE WHEN doc_id % 5 = 0 THEN text || '.' ELSE text END AS text", "CASE WHEN doc_id % 13 = 0 THEN 'xx' ELSE lang END AS lang", "CASE WHEN doc_id % 17 = 0 THEN NULL ELSE n_chars END AS n_chars", "source"]
+
+
+@query("M27_repair_verify", "SELECT count(*) FILTER (doc_id % 23 <> 0 AND ((doc_id % 13 = 0 AND lang IS DISTINCT FROM 'xx') OR (doc_id % 17 = 0 AND n_chars IS NOT NULL))) AS changed, count(*) FILTER (doc_id % 23 <> 0 AND doc_id % 5 = 0 AND text IS NOT NULL) AS repaired, (2 * count(*) FILTER (doc_id % 23 = 0))::BIGINT AS missing FROM documents")
 def repair_verify(spark, d):
     a = table(spark, d, "documents")
-    b = a.withColumn("text", F.regexp_replace("text", "[\\x00-\\x08\\x0e-\\x1f]", " "))
-    return corpus.verify_repair(a, b, "doc_id", ["lang", "n_chars", "source"])
+    return corpus.verify_repair(a, a.selectExpr(*_AFTER), "doc_id", ["lang", "n_chars", "source"])
 
 
 @query("A14_calibrate", "WITH p AS (SELECT p_brand AS file, p_type, p_size + 1 AS predicted, p_retailprice AS actual FROM part), r AS (SELECT *, actual / predicted AS ratio, row_number() OVER (PARTITION BY file ORDER BY actual / predicted) AS k, count(*) OVER (PARTITION BY file) AS n FROM p) SELECT file, round(sum(actual) / sum(predicted), 6) AS total, round(max(ratio) FILTER (k = n // 2 + 1), 6) AS upper_median, round(min(ratio), 6) AS lowest, round(max(ratio), 6) AS highest FROM r GROUP BY 1")
@@ -168,9 +161,10 @@ def calibrate(spark, d):
     return corpus.calibrate(p)
 
 
-@query("A16_extrapolate", "SELECT p_brand AS file, round(100.0::DOUBLE * sum(p_size) / count(*), 6) AS density, round(sum(p_size) / 0.25::DOUBLE, 3) AS chunks FROM part GROUP BY 1")
+@query("A16_extrapolate", "WITH p AS (SELECT p_brand AS file, p_size, p_partkey % 4 <> 1 AS seen FROM part), g AS (SELECT file, sum(p_size) FILTER (seen) AS chunks, count(*) FILTER (seen) AS docs, count(*) AS every FROM p GROUP BY 1) SELECT file, round(chunks / docs, 6) AS density, round(chunks * every / docs, 3) AS est_chunks FROM g WHERE docs > 0")
 def extrapolate(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("file")).agg(F.round(100.0 * F.sum("p_size") / F.count(F.lit(1)), 6).alias("density"), F.round(F.sum("p_size") / 0.25, 3).alias("chunks"))
+    p = table(spark, d, "part").select(F.col("p_brand").alias("file"), F.col("p_size").alias("chunks"), (F.col("p_partkey") % 4 != 1).alias("seen"))
+    return corpus.extrapolate(p)
 
 
 @query("A21_case_share", f"WITH w AS (SELECT unnest({WORDS_SQL('text')}) AS w FROM documents) SELECT lower(w) AS word, count(*) AS n, round(count(*) FILTER (w <> lower(w)) / count(*), 6) AS upper_share FROM w GROUP BY 1 HAVING count(*) >= 20 AND count(*) FILTER (w <> lower(w)) >= 0.2 * count(*)")

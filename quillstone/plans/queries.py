@@ -140,9 +140,14 @@ def exclusion_stats(spark, d):
     return rows.where("reason is not null").groupBy("file", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("F3_navigation", f"SELECT doc_id, len({WORDS_SQL('text')}) > 40 AND len(list_distinct({WORDS_SQL('lower(text)')})) / len({WORDS_SQL('text')}) < 0.35 AS navigation FROM documents")
+_TITLE = "CASE doc_id % 6 WHEN 0 THEN 'Category: herbs' WHEN 1 THEN 'Tagsx' WHEN 2 THEN 'all pages of it' WHEN 3 THEN 'ÍNDEX' WHEN 4 THEN 'Index' ELSE '' END"
+_PATH = "CASE doc_id % 7 WHEN 0 THEN 'Category:x' WHEN 1 THEN 'Tag/y' WHEN 2 THEN 'a/Tag/y' WHEN 3 THEN 'Special:z' ELSE 'A' END"
+
+
+@query("F3_navigation", f"SELECT doc_id, regexp_matches(lower({_TITLE}), '^(category|categoría|tag|tags|index|contents|table of contents|all pages)([^\\p{{L}}\\p{{N}}_]|$)') OR starts_with({_PATH}, 'Category:') OR starts_with({_PATH}, 'Tag/') OR starts_with({_PATH}, 'Special:') OR (len({WORDS_SQL('text')}) > 40 AND len(list_distinct({WORDS_SQL('lower(text)')})) / len({WORDS_SQL('text')}) < 0.35) AS navigation FROM documents")
 def navigation(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.is_navigation(F.lit(""), F.lit(""), F.col("text")).alias("navigation"))
+    rows = table(spark, d, "documents").select("doc_id", "text", F.expr(_TITLE).alias("title"), F.expr(_PATH).alias("path"))
+    return rows.select("doc_id", T.is_navigation(F.col("title"), F.col("path"), F.col("text")).alias("navigation"))
 
 
 @query("F4_exclusion_list", f"WITH {CHUNKS_SQL} SELECT src, count(*) AS n FROM chunks WHERE cid NOT IN (SELECT cid FROM chunks WHERE i % 5 = 2) GROUP BY 1")
@@ -183,10 +188,13 @@ def exact_topk(spark, d):
     return _dense(spark, d)
 
 
-@query("V1_normalise", "SELECT vec_id, round(sqrt(list_inner_product(e, e)), 6) AS norm FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) WHERE true")
+@query("V1_normalise", "SELECT vec_id, round(e[1] / n, 6) + 0 AS first, round(e[2] / n, 6) + 0 AS second, round(list_sum(list_transform(e, lambda x: x / n)), 5) + 0 AS total FROM (SELECT vec_id, e, CASE WHEN list_inner_product(e, e) = 0 THEN 1 ELSE sqrt(list_inner_product(e, e)) END AS n FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (vec_id % 50 > 0)::INT) AS e FROM embeddings))")
 def normalise(spark, d):
-    n = table(spark, d, "embeddings").select("vec_id", retrieval.normalised(F.col("embedding")).alias("e"))
-    return n.select("vec_id", F.round(F.sqrt(retrieval.dot(F.col("e"), F.col("e"))), 6).alias("norm"))
+    """Every fiftieth vector is made zero, and stays so."""
+    e = F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 50 > 0).cast("int"))
+    n = table(spark, d, "embeddings").select("vec_id", e.alias("e")).select("vec_id", retrieval.normalised(F.col("e")).alias("e"))
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
+    return n.select("vec_id", (F.round(F.get("e", F.lit(0)), 6) + 0.0).alias("first"), (F.round(F.get("e", F.lit(1)), 6) + 0.0).alias("second"), (F.round(total, 5) + 0.0).alias("total"))
 
 
 SPARSE_SQL = "sp AS (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(v.label - q.label), v.vec_id % 37, v.vec_id)::INT AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0)"
@@ -310,8 +318,7 @@ def lang_slug(spark, d):
 def recursive_roots(spark, d):
     k = F.col("c_custkey")
     p = table(spark, d, "customer").select(k.alias("pid"), F.when(k % 7 != 0, k - 1).alias("parent"))
-    p.createOrReplaceTempView("processes_")
-    return spark.sql("WITH RECURSIVE t(pid, root, depth) AS (SELECT pid, pid, 0 FROM processes_ WHERE parent IS NULL UNION ALL SELECT p.pid, t.root, t.depth + 1 FROM processes_ p JOIN t ON p.parent = t.pid WHERE t.depth < 32) SELECT pid, root, depth FROM t")
+    return spark.sql("WITH RECURSIVE t(pid, root, depth) AS (SELECT pid, pid, 0 FROM {p} WHERE parent IS NULL UNION ALL SELECT p.pid, t.root, t.depth + 1 FROM {p} p JOIN t ON p.parent = t.pid WHERE t.depth < 32) SELECT pid, root, depth FROM t", p=p)
 
 
 @query("M1_row_state", "WITH r AS (SELECT p_partkey AS id, p_size % 3 = 0 AS indexed, p_size % 5 <> 0 AS on_disk, p_size * 10 AS want, CASE WHEN p_size % 7 = 0 THEN p_size * 9 ELSE p_size * 10 END AS have, p_size % 4 = 1 AS zim, CASE WHEN p_size % 11 = 0 THEN NULL ELSE p_size % 2 = 0 END AS served FROM part) SELECT id, CASE WHEN indexed AND NOT on_disk THEN 'red' WHEN on_disk AND have <> want THEN 'red' WHEN on_disk AND zim AND served = false THEN 'red' WHEN on_disk AND indexed THEN 'green' WHEN on_disk THEN 'amber' ELSE 'grey' END AS state, CASE WHEN indexed AND NOT on_disk THEN 'gone' WHEN on_disk AND have <> want THEN 'size' WHEN on_disk AND zim AND served = false THEN 'not_served' ELSE '' END AS cause FROM r")
@@ -349,10 +356,11 @@ def prefix_cover(spark, d):
 
 @query("A13_timing_rates", "WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(max(value) FILTER (r = n // 2 + 1), 6) AS upper_median, round(max(value) FILTER (r = least(n, floor(n * 0.95::DOUBLE)::BIGINT + 1)), 6) AS p95 FROM s GROUP BY 1")
 def timing_rates(spark, d):
-    w = Window.partitionBy("event_type").orderBy("value", "event_id")
-    s = table(spark, d, "events").select("event_type", "value", F.row_number().over(w).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("event_type")).alias("n"))
-    at = lambda r: F.round(F.max(F.when(F.col("r") == r, F.col("value"))), 6)
-    return s.groupBy("event_type").agg(at(F.floor(F.col("n") / 2) + 1).alias("upper_median"), at(F.least(F.col("n"), F.floor(F.col("n") * 0.95) + 1)).alias("p95"))
+    # counts of values are ordered, not rows
+    c = table(spark, d, "events").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("c"))
+    c = c.withColumns({"upto": F.sum("c").over(Window.partitionBy("event_type").orderBy("value")), "n": F.sum("c").over(Window.partitionBy("event_type"))})
+    at = lambda r: F.round(F.min(F.when(F.col("upto") >= r, F.col("value"))), 6)
+    return c.groupBy("event_type").agg(at(F.floor(F.col("n") / 2) + 1).alias("upper_median"), at(F.least(F.col("n"), F.floor(F.col("n") * 0.95) + 1)).alias("p95"))
 
 
 @query("C2_hard_split")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import answers as _answers  # noqa: F401, registers its queries
 from . import catalogue as _catalogue  # noqa: F401
 from . import library as _library  # noqa: F401
+from . import more as _more  # noqa: F401
 from . import places as _places  # noqa: F401
 from . import queries as _queries
 from . import retrieval as _retrieval  # noqa: F401

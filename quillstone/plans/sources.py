@@ -77,11 +77,11 @@ def provenance_ingest(spark, d):
     return spark.read.parquet(path).groupBy("src").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("S20_upsert_sink", f"WITH {CHUNKS_SQL} SELECT cid, sha1(CASE WHEN src = 3 THEN upper(text) ELSE text END) AS text FROM chunks WHERE NOT (src = 3 AND i % 2 = 1)")
+@query("S20_upsert_sink", f"WITH {CHUNKS_SQL} SELECT cid, sha1(CASE WHEN src = 3 THEN 'x' || text ELSE text END) AS text FROM chunks WHERE NOT (src = 3 AND i % 2 = 1)")
 def upsert_sink(spark, d):
     c, path = chunks(table(spark, d, "documents")).select("src", "cid", "i", "text"), store.scratch(spark, "sink")
     files.replace_source(c, c.where("false"), path)
-    files.replace_source(c.where("src = 3").withColumn("text", F.upper("text")), c.where("i % 2 = 1"), path)
+    files.replace_source(c.where("src = 3").withColumn("text", F.concat(F.lit("x"), "text")), c.where("i % 2 = 1"), path)
     return spark.read.parquet(path).select("cid", F.sha1("text").alias("text"))
 
 

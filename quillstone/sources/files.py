@@ -54,10 +54,17 @@ def library_books(spark: SparkSession, path: str) -> DataFrame | None:
     """stem, title, lang of the books that a library lists; None, which is unknown and not empty, if it can't be read."""
     if not store.exists(spark, path):
         return None
-    schema = "_path string, _title string, _language string"
-    b = spark.read.format("xml").option("rowTag", "book").schema(schema).load(path)
-    stem = F.regexp_replace(F.regexp_extract(F.translate("_path", "\\", "/"), "([^/]*)$", 1), r"(?i)\.zim$", "")
-    return b.select(stem.alias("stem"), F.coalesce("_title", F.lit("")).alias("title"), F.trim(F.split(F.coalesce("_language", F.lit("")), ",")[0]).alias("lang")).where("stem <> ''")
+    element = F.explode(F.regexp_extract_all("value", F.lit(r"<book\b[^>]*>"), F.lit(0)))
+    books = spark.read.option("wholetext", True).text(path).select(element.alias("book"))
+
+    def attribute(name: str) -> Column:
+        out = F.regexp_extract("book", rf'\s{name}="([^"]*)"', 1)
+        for mark, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+            out = F.replace(out, F.lit(mark), F.lit(letter))
+        return out
+
+    stem = F.regexp_replace(F.regexp_extract(F.translate(attribute("path"), "\\", "/"), "([^/]*)$", 1), r"(?i)\.zim$", "")
+    return books.select(stem.alias("stem"), attribute("title").alias("title"), F.trim(F.split(attribute("language"), ",")[0]).alias("lang")).where("stem <> ''")
 
 
 def listing(spark: SparkSession, where: str, names: str) -> DataFrame:
