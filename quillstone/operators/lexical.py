@@ -43,7 +43,10 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.totals = spark.read.parquet(f"{path}/totals")
+
+    @property
+    def totals(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/totals")
 
     @property
     def postings(self) -> DataFrame:

@@ -117,7 +117,7 @@ def table_text(spark, d):
     return pdf.tables(_grid(spark, d).select("id", "rows", "width"))
 
 
-@query("T11_page_text", "WITH b AS (SELECT l_orderkey AS id, l_linenumber * 10.0 AS y0, l_partkey::VARCHAR AS t FROM lineitem WHERE l_linenumber NOT IN (3, 4)), x AS (SELECT DISTINCT l_orderkey AS id, 27.0 AS y0, 'Table.' AS t FROM lineitem WHERE l_linenumber = 3), p AS (SELECT DISTINCT id, y0, t FROM b UNION ALL SELECT id, y0, t FROM x UNION ALL SELECT l_orderkey, l_linenumber * 10.0, l_partkey::VARCHAR FROM lineitem WHERE l_linenumber = 4 AND l_orderkey NOT IN (SELECT id FROM x)) SELECT id, string_agg(t, chr(10) ORDER BY y0, t) AS text FROM p GROUP BY 1")
+@query("T11_page_text", "WITH b AS (SELECT l_orderkey AS id, l_linenumber * 10.0 AS y0, l_partkey::VARCHAR AS t FROM lineitem WHERE l_linenumber NOT IN (3, 4)), x AS (SELECT DISTINCT l_orderkey AS id, 27.0 AS y0, 'Table.' AS t FROM lineitem WHERE l_linenumber = 3), p AS (SELECT id, y0, t FROM b UNION SELECT id, y0, t FROM x UNION SELECT l_orderkey, l_linenumber * 10.0, l_partkey::VARCHAR FROM lineitem WHERE l_linenumber = 4 AND l_orderkey NOT IN (SELECT id FROM x)) SELECT id, string_agg(t, chr(10) ORDER BY y0, t) AS text FROM p GROUP BY 1")
 def page_text(spark, d):
     l = table(spark, d, "lineitem")  # noqa: E741
     y = F.col("l_linenumber") * 10.0
