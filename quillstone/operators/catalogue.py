@@ -219,3 +219,21 @@ def outcome(there: Column, want_size: Column, have_size: Column, want_hash: Colu
         F.when(failed, "FAILED").when(changed, "CHANGED").when(there & wrong, "CONFLICT").when(F.coalesce(want_hash != have_hash, F.lit(False)), F.when(there, "CONFLICT").otherwise("MISMATCH"))
         .when(there, "present").when(wrong, "MISMATCH").otherwise("fetched")
     )
+
+
+def run_steps(steps: DataFrame) -> DataFrame:
+    """run, nth, state of the steps of runs (run, nth, due, ok): done, failed, up to date, or not run, which all are behind a failure."""
+    w = Window.partitionBy("run").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    stopped = F.coalesce(F.max(F.col("due") & ~F.col("ok")).over(w), F.lit(False))
+    return steps.select("run", "nth", F.when(stopped, "not run").when(~F.col("due"), "up to date").when(F.col("ok"), "done").otherwise("failed").alias("state"))
+
+
+def substitution(want: Column, newest: Column) -> tuple[Column, Column]:
+    """What became of an edition that a row asks for, and the newer one that was taken in its place."""
+    state = F.when(newest.isNull(), "gone").when(newest == want, "same").when(newest > want, "substituted").otherwise("older")
+    return state, F.when(newest > want, newest)
+
+
+def affordable(need: Column, free: Column, total: Column) -> Column:
+    """Whether a model fits into memory: fits, fits once others go (evict), or is too large."""
+    return F.when(need <= free, "fits").when(need <= total, "evict").otherwise("too large")

@@ -86,3 +86,15 @@ def page(pool: DataFrame, n: int = 8) -> DataFrame:
         return rows[["query_id", "rank"]].assign(outcome=out)
 
     return pool.select("query_id", "rank", "src", "dnum", "text_key", "reason", "navigation").groupBy("query_id").applyInPandas(walk, OUTCOME)
+
+
+def payload(walked: DataFrame, pool: DataFrame, mode: str) -> DataFrame:
+    """query_id, mode, n, consumed, results (cids in rank order), suppressed (rule: how often) of walked pages (query_id, rank, outcome) and their pools."""
+    rows = walked.where("outcome <> 'beyond'").join(pool.select("query_id", "rank", "cid"), ["query_id", "rank"])
+    kept = F.col("outcome") == "kept"
+    g = rows.groupBy("query_id").agg(
+        F.count(F.when(kept, 1)).alias("n"), F.max("rank").alias("consumed"), F.array_sort(F.collect_list(F.when(kept, F.struct("rank", "cid"))))["cid"].alias("results"), F.collect_list(F.when(~kept, F.col("outcome"))).alias("out")
+    )
+    rules = F.array_sort(F.array_distinct("out"))
+    counts = F.map_from_arrays(rules, F.transform(rules, lambda r: F.size(F.filter("out", lambda o: o == r))))
+    return g.select("query_id", F.lit(mode).alias("mode"), "n", "consumed", "results", counts.alias("suppressed"))

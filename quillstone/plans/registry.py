@@ -9,6 +9,7 @@ from . import more as _more  # noqa: F401
 from . import places as _places  # noqa: F401
 from . import queries as _queries
 from . import retrieval as _retrieval  # noqa: F401
+from . import runs as _runs  # noqa: F401
 from . import sources as _sources  # noqa: F401
 
 

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import titles
-from quillstone.operators import catalogue, chunking, corpus, evaluation, html, lexical, pages, pdf, quality, vectors
+from quillstone.operators import catalogue, chunking, corpus, evaluation, html, lexical, pages, pdf, quality, tiles, vectors
+from quillstone.plans.runs import tile_of
 from quillstone.sources import files, store, tables
 from quillstone.streaming import ingest
 
@@ -111,6 +112,18 @@ def test_readers_and_sinks(spark):
     assert [r["page_id"] for r in kept.collect()] == [1] and tuple(stats.first()) == (3, 1, 2)
 
 
+def test_tiles(spark):
+    import gzip
+
+    data = tile_of([{"name": "A", "population_rank": 3}, {"name": "B", "kind": "x"}, {"kind": "y"}], [(2048, 2048), (10, 4000), (1, 1)])
+    assert [(a.get("name"), x, y) for a, x, y, _ in tiles.points(gzip.compress(data), "places")] == [("A", 2048, 2048), ("B", 10, 4000), (None, 1, 1)]
+    assert tiles.points(data, "roads") == [] and tiles.points(b"", "places") == []
+    with pytest.raises(ValueError):
+        tiles.points(data[:-3], "places")
+    got = {r["name"]: r for r in tiles.places_in(spark.createDataFrame([(0, 0, 0, data), (1, 0, 0, None)], "z int, x long, y long, data binary")).collect()}
+    assert set(got) == {"A", "B"} and (got["A"]["lon"], round(got["A"]["lat"], 9), got["A"]["poprank"]) == (0.0, 0.0, 3) and got["B"]["lat"] < -80
+
+
 def test_small_rules(spark):
     rows = [("How do I keep water for a year? - Shop", "Shop"), ("What is it?", "x"), ("Welcome to the index of all things?", "x")]
     assert [r["q"] for r in spark.createDataFrame(rows, "t string, b string").select(titles.question(F.col("t"), F.col("b")).alias("q")).collect()] == ["How do I keep water for a year?", None, None]
