@@ -237,3 +237,11 @@ def substitution(want: Column, newest: Column) -> tuple[Column, Column]:
 def affordable(need: Column, free: Column, total: Column) -> Column:
     """Whether a model fits into memory: fits, fits once others go (evict), or is too large."""
     return F.when(need <= free, "fits").when(need <= total, "evict").otherwise("too large")
+
+
+def sum_update(lines: DataFrame) -> DataFrame:
+    """shelf, path, plan, total: a line of a checksum list is rewritten if it is the only one of its path; the list's total stays with it."""
+    n = lines.groupBy("shelf", "path").agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy("shelf").agg(F.sum("n").alias("lines"))
+    one = F.col("n") == 1
+    return n.join(total, "shelf").select("shelf", "path", F.when(one, "rewrite").otherwise("refuse").alias("plan"), F.when(one, F.col("lines")).alias("total"))

@@ -125,11 +125,16 @@ def token_match(t: Column, k: Column) -> Column:
     return (t == k) | ((F.length(t) >= 4) & (F.length(k) >= 4) & (longer(t, k) | longer(k, t)))
 
 
+#: Questions that are sent to all tasks.
+ASKED = 10_000
+
+
 def suggest(rows: DataFrame, asked: DataFrame, most: int = 3, least: float = 2.0) -> DataFrame:
     """query_id, id, score, place: rows (id, keywords, lang) that may answer a question (query_id, question), most each.
 
     A phrase found whole counts 2, with all its words 1.5, a single word 1, each times the mean weight of its words and
-    1.25 in the question's language, else 0.85. Questions are broadcast: a handful that someone asks.
+    1.25 in the question's language, else 0.85. Distinct keywords meet all questions, which are broadcast if they are
+    ASKED at most; more are dealt out with the keywords.
     """
     q = asked.select("query_id", folded(F.col("question")).alias("q"), lang_votes(F.col("question")).alias("ql"))
     q = q.select("query_id", "q", "ql", content(F.split("q", " ")).alias("qt"))
@@ -138,7 +143,8 @@ def suggest(rows: DataFrame, asked: DataFrame, most: int = 3, least: float = 2.0
     df = key.select("id", F.explode("kt").alias("w")).distinct().groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     weighed = key.select("k", "kt").distinct().select("k", F.explode("kt").alias("w")).join(df, "w").crossJoin(F.broadcast(n)).groupBy("k").agg(F.avg(1 + F.log(F.col("N") / F.col("df"))).alias("weight"))
     # distinct keywords meet the questions, then the rows that have them
-    hits = key.select("k", "kt").distinct().crossJoin(F.broadcast(q))
+    few = asked.limit(ASKED + 1).count() <= ASKED
+    hits = key.select("k", "kt").distinct().crossJoin(F.broadcast(q) if few else q)
     whole = F.concat(F.lit(" "), F.col("q"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("k"), F.lit(" ")))
     every = F.forall("kt", lambda w: F.exists("qt", lambda t: token_match(t, w)))
     phrase = F.col("k").contains(" ")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import dehyphenated
+
 # Limits of a table that is believed.
 COLUMNS, FILL, CELL, FIGURES, SHARE, SINGLE, LEAST_SINGLE, WIDE, WIDTH = 8, 0.40, 200, 6, 0.6, 0.40, 6, 4, 0.18
 PAD = 2.0
@@ -39,7 +40,7 @@ def shrunk(rows: Column) -> Column:
     """The rows and columns with any text, padded to one width."""
     some = F.filter(rows, lambda r: F.exists(r, lambda c: F.coalesce(c, F.lit("")) != ""))
     width = F.array_max(F.transform(some, lambda r: F.size(r)))
-    even = F.transform(some, lambda r: F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.trim(F.regexp_replace(F.coalesce(F.get(r, i), F.lit("")), r"\s+", " "))))
+    even = F.transform(some, lambda r: F.transform(F.sequence(F.lit(0), width - 1), lambda i: cleaned(F.get(r, i))))
 
     def kept(rows: Column) -> Column:
         keep = F.filter(F.sequence(F.lit(0), F.size(F.get(rows, F.lit(0))) - 1), lambda i: F.exists(rows, lambda r: F.get(r, i) != ""))
@@ -104,9 +105,6 @@ def page_text(blocks: DataFrame, boxes: DataFrame, key: str = "id") -> DataFrame
     return pieces.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("y0", "t"))).alias("p")).select(key, F.array_join("p.t", "\n").alias("text"))
 
 
-_SPACES = re.compile(r"\s+")
-
-
-def clean_cell(cell: str | None) -> str:
-    """A cell's text: soft hyphens between letters go with the space after them, white space is single."""
-    return _SPACES.sub(" ", re.sub("­", "", re.sub("(?<=[^\\W\\d_])­\\s*(?=[^\\W\\d_])", "", cell or ""))).strip()
+def cleaned(cell: Column) -> Column:
+    """A cell's text: soft hyphens between letters go with the space after them, white space is single; null is empty."""
+    return F.trim(F.regexp_replace(dehyphenated(F.coalesce(cell, F.lit(""))), r"(?U)\s+", " "))

@@ -112,6 +112,12 @@ def table_gate(spark, d):
     return _grid(spark, d).select("id", pdf.quality(F.col("rows"), F.col("original"), F.col("width")).alias("why"))
 
 
+@query("T37_cells", "SELECT doc_id, sha1(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS cell FROM documents")
+def cells(spark, d):
+    t = F.regexp_replace("text", "([a-z]{2})([a-z]{2})", "$1\u00ad $2")
+    return table(spark, d, "documents").select("doc_id", F.sha1(pdf.cleaned(t)).alias("cell"))
+
+
 @query("T10_table_text")
 def table_text(spark, d):
     return pdf.tables(_grid(spark, d).select("id", "rows", "width"))

@@ -78,6 +78,12 @@ def line_end_plan(spark, d):
     return table(spark, d, "part").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("files"), F.sum("p_size").cast("long").alias("bytes"))
 
 
+@query("M36_sum_update", "WITH l AS (SELECT p_brand AS shelf, p_type AS path, count(*) AS n FROM part GROUP BY 1, 2), t AS (SELECT shelf, sum(n) AS lines FROM l GROUP BY 1) SELECT shelf, path, CASE WHEN n = 1 THEN 'rewrite' ELSE 'refuse' END AS plan, CASE WHEN n = 1 THEN lines END::BIGINT AS total FROM l JOIN t USING (shelf)")
+def sum_update(spark, d):
+    lines = table(spark, d, "part").select(F.col("p_brand").alias("shelf"), F.col("p_type").alias("path"))
+    return catalogue.sum_update(lines)
+
+
 @query("M26_substitutions", "WITH r AS (SELECT p_partkey AS id, '2024-' || lpad((p_size % 12 + 1)::VARCHAR, 2, '0') AS want, CASE WHEN p_size % 5 > 0 THEN '2024-' || lpad((p_size % 7 + 3)::VARCHAR, 2, '0') END AS newest FROM part) SELECT id, CASE WHEN newest IS NULL THEN 'gone' WHEN newest = want THEN 'same' WHEN newest > want THEN 'substituted' ELSE 'older' END AS state, CASE WHEN newest > want THEN newest END AS took FROM r")
 def substitutions(spark, d):
     s = F.col("p_size")

@@ -69,7 +69,8 @@ def test_pdf_tables(spark):
     assert pdf.table_text([["a", "b", "c"], ["1", "2", "3"]]) == "Table:\n| a | b | c |\n|---|---|---|\n| 1 | 2 | 3 |"
     assert pdf.table_text([["1", "", "3"], ["4", "5", "6"]], ["x", "y", "z"], True).splitlines()[1:3] == ["| x | y | z |", "|---|---|---|"]
     assert pdf.table_text([["a run of names", "", ""], ["1", "2", "3"]]).startswith("Table (a run of names):\n| 1 |") and pdf.table_text([["a", ""]]) is None
-    assert pdf.clean_cell("wa\u00ad ter  x\u00ad") == "water x" and pdf.clean_cell(None) == ""
+    cells = spark.createDataFrame([(0, "wa\u00ad ter  x\u00ad"), (1, None)], "i int, c string").select("i", pdf.cleaned(F.col("c")).alias("c")).orderBy("i").collect()
+    assert [r["c"] for r in cells] == ["water x", ""]
     rows = spark.createDataFrame([(1, [["", "", ""], ["a", "", "b b"], ["c", None, "d"]], 0.5), (2, [["", ""]], 0.5), (3, [["x"]], 0.5), (4, [["cap", ""], ["k", "v"], ["l", "w"]], 0.5), (5, [["k", "v"], ["l", "w"]], 0.1)], "id int, rows array<array<string>>, width double")
     got = {r["id"]: (r["why"], r["text"]) for r in pdf.tables(rows).collect()}
     assert got == {1: ("", "Table. a: b b. c: d."), 2: ("empty", None), 3: ("caption only", None), 4: ("", "Table (cap). k: v. l: w."), 5: ("sliver of a page", None)}
