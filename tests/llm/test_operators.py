@@ -590,6 +590,18 @@ def test_op10_pairs():
     assert abs(np.exp(pairs.log_probs(np.array([a]), np.array([b]))[0]) - want) < 1e-6
 
 
+def test_op10_rare_pairs(docs, monkeypatch):
+    """Pairs that aren't sent to the tasks score by their counts too, and tell the classes."""
+    held = F.col("doc_id") % 5 == 2
+    asked = docs.select("doc_id", held.alias("held_out"), (~held).alias("teaches"), "text").coalesce(1)
+    want = got(lm.scores(asked))
+    for most in (0, 200):
+        monkeypatch.setattr(lm, "PAIRS", most)
+        out = got(lm.scores(asked))
+        assert out.keys() == want.keys()
+        assert all(abs(out[i]["score"] - r["score"]) < 1e-4 * abs(r["score"]) for i, r in want.items()), most
+
+
 def test_op10_pair_counts(spark, docs, by_id):
     out = {r["k"]: r["n"] for r in lm.pair_counts(lm.encoded(docs.select("doc_id", F.lit(False).alias("held_out"), F.lit(True).alias("teaches"), "text"), shared_dir(spark))).collect()}
     want, enc = Counter(), encoder(lm.VOCABULARY)
