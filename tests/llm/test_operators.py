@@ -665,3 +665,34 @@ def test_op10_gradients():
             values.append(m.loss(x, y)[0])
         p[i] += 1e-4
         assert abs((values[0] - values[1]) / 2e-4 - g[n][i]) < 1e-3 * max(1, abs(g[n][i])), n
+
+
+def test_op10_parts(monkeypatch):
+    """A step's parts add up, tables that are used again keep nothing of the call before, and large logits do no harm."""
+    m, rng = lm.Model(), np.random.default_rng(6)
+    x, y = rng.integers(0, lm.INPUTS + lm.CLASSES, (7, lm.CONTEXT)), rng.integers(0, lm.CLASSES, (7, lm.CONTEXT))
+    want, g = m.loss(x, y)
+    monkeypatch.setattr(lm, "PART", 3)
+    for _ in range(2):
+        m.loss(x[:4], y[:4])
+        loss, parts = m.loss(x, y)
+        assert abs(loss - want) < 1e-5 and all(np.allclose(g[n], parts[n], rtol=1e-3, atol=1e-6) for n in m.NAMES)
+    states = m.states(x).copy()
+    m.states(x[::-1])
+    assert np.allclose(m.states(x[2:5]), states[2:5], atol=1e-6) and m.large == (False, False)
+    m.q *= 1e3
+    m.k *= 1e3
+    m.w *= 1e3
+    m.settle()
+    assert m.large == (True, True) and np.isfinite(m.states(x)).all() and np.isfinite(m.loss(x, y)[0])
+    logs = [m.log_probs(m.states(x).reshape(-1, lm.WIDTH), np.full(x.size, k)).astype(np.float64) for k in range(lm.CLASSES)]
+    assert np.allclose(np.exp(logs).sum(axis=0), 1, atol=1e-3)
+
+
+def test_op10_head():
+    rng = np.random.default_rng(1)
+    h = np.unique(rng.integers(0, 2**64 - 1, 5000, dtype=np.uint64, endpoint=True))
+    asked = np.concatenate([h[::2], rng.integers(0, 2**64 - 1, 5000, dtype=np.uint64, endpoint=True), np.array([0, 2**64 - 1], np.uint64)])
+    for hashes in (h, h[:0], h[:1], np.append(h, np.uint64(2**64 - 1))):
+        at, hit = lm.Head(hashes).find(asked)
+        assert (at == np.searchsorted(hashes, asked)).all() and (hit == np.isin(asked, hashes)).all()
