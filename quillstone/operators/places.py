@@ -43,6 +43,20 @@ def within(points: DataFrame, named: DataFrame, km: float) -> DataFrame:
     return near_points(points, named, km)
 
 
+def nearest_names(points: DataFrame, named: DataFrame, km: float, key: str, id_: str) -> DataFrame:
+    """key, norm, id_, km: the nearest row (id_, norm, lat, lon) of each norm within km of each point (key, lat, lon), ties to 6 decimals by id_.
+
+    Points of one position have the same neighbours, and of the rows of one norm at one position the first by id_ stands for all: so
+    positions meet, not rows, and what is joined behind that is a row for each point and norm.
+    """
+    spots = points.where("lat is not null and lon is not null").select("lat", "lon").distinct()
+    first = named.where("lat is not null and lon is not null").groupBy("norm", "lat", "lon").agg(F.min(id_).alias(id_))
+    best = within(spots, first, km).groupBy("lat", "lon", "norm").agg(F.min_by(id_, F.struct(F.round("km", 6), id_)).alias(id_), F.min("km").alias("km"))
+    # a key that stands at several positions takes the nearest of them all
+    every = points.select(key, "lat", "lon").distinct().join(best, ["lat", "lon"])
+    return every.groupBy(key, "norm").agg(F.min_by(id_, F.struct(F.round("km", 6), id_)).alias(id_), F.min("km").alias("km"))
+
+
 def in_box(lat: Column, lon: Column, at_lat: float, at_lon: float, dlat: float, dlon: float) -> Column:
     """Whether a point is within so many degrees of another one; longitudes wrap."""
     return lat.between(at_lat - dlat, at_lat + dlat) & (F.abs(F.pmod(lon - at_lon + 180.0, F.lit(360.0)) - 180.0) <= dlon)

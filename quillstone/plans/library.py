@@ -227,8 +227,8 @@ _KM = "2 * 6371 * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(b.lat - a.lat) /
 def names_at(spark, d):
     k = F.col("s_suppkey")
     at = table(spark, d, "supplier").select(k.alias("s"), (k * 53 % 1000 / 100.0).alias("lat"), (k * 29 % 1000 / 100.0).alias("lon"))
-    near = places.within(at, _points(spark, d).select("k", "norm", "lat", "lon"), 50.0)
-    return near.groupBy("s", "norm").agg(F.min_by("k", F.struct(F.round("km", 6), "k")).alias("k"), F.round(F.min("km"), 4).alias("km"))
+    near = places.nearest_names(at, _points(spark, d).select("k", "norm", "lat", "lon"), 50.0, "s", "k")
+    return near.select("s", "norm", "k", F.round("km", 4).alias("km"))
 
 
 @query("G2_tile_point", "WITH t AS (SELECT c_custkey AS k, c_custkey % 8 AS z, c_custkey % (1 << (c_custkey % 8)) AS x, c_custkey * 7 % (1 << (c_custkey % 8)) AS y, c_custkey * 13 % 4096 AS px, c_custkey * 17 % 4096 AS py FROM customer) SELECT k, round((x + px / 4096) / pow(2.0::DOUBLE, z) * 360 - 180, 6) AS lon, round(degrees(atan(sinh(pi() * (1 - 2 * (y + py / 4096) / pow(2.0::DOUBLE, z))))), 6) AS lat FROM t")

@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone.functions import text as T
 from quillstone.functions import titles
-from quillstone.operators import catalogue, chunking, corpus, evaluation, html, lexical, pages, pdf, quality, tiles, vectors
+from quillstone.operators import catalogue, chunking, corpus, evaluation, html, lexical, pages, pdf, places, quality, tiles, vectors
+from quillstone.plans import registry
 from quillstone.plans.runs import tile_of
 from quillstone.sources import files, store, tables
 from quillstone.streaming import ingest
@@ -147,3 +149,16 @@ def test_streams(spark):
     assert sorted((r["src"], r["cid"], r["text"]) for r in spark.read.parquet(path).collect()) == [(1, "a", "z"), (1, "c", "w"), (2, "b", "y")]
     events = spark.createDataFrame([("j", "running", "2024-01-01 00:01:00"), ("j", "cancelled", "2024-01-01 00:02:00"), ("j", "done", "2024-01-01 00:03:00"), ("k", "queued", "2024-01-01 00:01:00")], "job string, state string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     assert {r["job"]: r["state"] for r in ingest.job_states(events).collect()} == {"j": "cancelled", "k": "queued"}
+
+
+def test_nearest_names_meet_by_positions(spark):
+    # many points and rows at one position: 500 x 2000 pairs would meet by rows, 1 x 2 do by positions
+    at = spark.range(500).select(F.col("id").alias("s"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
+    named = spark.range(2000).select(F.col("id").alias("k"), F.when(F.col("id") % 2 == 0, "a").alias("norm"), F.lit(1.0).alias("lat"), F.lit(2.1).alias("lon"))
+    near = places.nearest_names(at, named, 50.0, "s", "k")
+    got = near.collect()
+    assert len(got) == 1000 and {(r["norm"], r["k"]) for r in got} == {("a", 0), (None, 1)} and {round(r["km"], 3) for r in got} == {11.118}
+    # equal distances go by id, and a key at two positions has the nearest of both
+    at = spark.createDataFrame([(1, 0.0, 0.0), (1, 0.0, 1.0), (2, None, 0.0)], "s int, lat double, lon double")
+    named = spark.createDataFrame([(9, "x", 0.0, 0.1), (8, "x", 0.1, 0.0), (7, "x", 0.0, 1.05), (6, "x", None, 0.0)], "k int, norm string, lat double, lon double")
+    assert [(r["s"], r["k"]) for r in places.nearest_names(at, named, 50.0, "s", "k").collect()] == [(1, 7)]
