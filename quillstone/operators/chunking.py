@@ -85,6 +85,17 @@ def sentences(text: str, size: int = TOKENS, overlap: int = OVERLAP, count: Call
     return out
 
 
+def tried(text: str, first: Callable[[str], list[str]], then: Callable[[str], list[str]]) -> tuple[str, list[str]]:
+    """How a text is cut: by first (split), where it fails by then (fallback), where that fails too into nothing (dropped)."""
+    try:
+        return "split", first(text)
+    except Exception:  # whatever a splitter fails by, the document isn't lost
+        try:
+            return "fallback", then(text)
+        except Exception:
+            return "dropped", []
+
+
 def with_fallback(docs: DataFrame, first: Callable[[str], list[str]], then: Callable[[str], list[str]] = windows) -> DataFrame:
     """doc_id, status, i, n, text: chunks by first, where it fails by then (fallback), where that fails too none (dropped: one row without text).
 
@@ -97,21 +108,25 @@ def with_fallback(docs: DataFrame, first: Callable[[str], list[str]], then: Call
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if not t:
                     continue
-                try:
-                    status, parts = "split", first(t)
-                except Exception:  # whatever a splitter fails by, the document isn't lost
-                    try:
-                        status, parts = "fallback", then(t)
-                    except Exception:
-                        out.append((d, "dropped", None, 0, None))
-                        continue
-                out += [(d, status, i, len(parts), p) for i, p in enumerate(parts)]
+                status, parts = tried(t, first, then)
+                out += [(d, status, None, 0, None)] if status == "dropped" else [(d, status, i, len(parts), p) for i, p in enumerate(parts)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["doc_id", "status", "i", "n", "text"])
 
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(rows, "doc_id long, status string, i int, n int, text string")
 
 
+def statuses(docs: DataFrame, first: Callable[[str], list[str]], then: Callable[[str], list[str]] = windows) -> DataFrame:
+    """doc_id, status, n (chunks) of every row: texts without chunks and ids that occur again count too. A null text is an empty one."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [tried(t or "", first, then) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s for s, _ in got], pa.string()), pa.array([len(p) for _, p in got], pa.int32())], ["doc_id", "status", "n"])
+
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(rows, "doc_id long, status string, n int")
+
+
 def split_sentences(docs: DataFrame, size: int = TOKENS, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, status, i, n, text of chunks of whole sentences, by length where a text can't be cut so."""
     return with_fallback(docs, lambda t: sentences(t, size, overlap))

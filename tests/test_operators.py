@@ -151,6 +151,25 @@ def test_streams(spark):
     assert {r["job"]: r["state"] for r in ingest.job_states(events).collect()} == {"j": "cancelled", "k": "queued"}
 
 
+def test_statuses_of_every_row(spark):
+    docs = spark.createDataFrame([(1, "x y"), (1, "x y"), (2, None), (3, ""), (4, " \n "), (None, "z")], "doc_id long, text string")
+
+    def bad(text):
+        raise RecursionError
+
+    get = lambda a, b: sorted((r["doc_id"] or 0, r["status"], r["n"]) for r in chunking.statuses(docs, a, b).collect())
+    assert get(chunking.windows, bad) == [(0, "split", 1), (1, "split", 1), (1, "split", 1), (2, "split", 0), (3, "split", 0), (4, "split", 0)]
+    assert {(s, n) for _, s, n in get(bad, bad)} == {("dropped", 0)} and len(get(bad, chunking.windows)) == 6
+
+
+def test_fallback_query_counts_rows(spark, tmp_path):
+    # empty and null texts, texts of white space and ids that occur again are rows of the SQL
+    rows = [(5, ""), (5, "a"), (3, None), (3, " "), (3, "b"), (1, "c"), (1, "c"), (2, " \n"), (None, "d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r["status"]: r["n"] for r in registry.queries()["C3_fallback"](spark, f"file://{tmp_path}").collect()}
+    assert got == {"dropped": 2, "fallback": 3, "split": 4}
+
+
 def test_nearest_names_meet_by_positions(spark):
     # many points and rows at one position: 500 x 2000 pairs would meet by rows, 1 x 2 do by positions
     at = spark.range(500).select(F.col("id").alias("s"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
