@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from fractions import Fraction
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,11 +68,27 @@ def percent_path(path: Column) -> Column:
     return out
 
 
+def one_decimal(x: Column) -> Column:
+    """A double as C's %.1f writes it: its exact binary value is rounded, ties go to the even digit. Java's rounds the shortest decimal half up."""
+    a = F.abs(x)
+    whole = F.floor(a)
+    part = a - whole
+    # only 0.25 and 0.75 are ties; else a double that equals a bound's nearest double lies on the side that the exact bound leaves it on
+    ups = []
+    for k in range(10):
+        bound = (2 * k + 1) / 20
+        up = k % 2 == 1 if k in (2, 7) else Fraction(bound) > Fraction(2 * k + 1, 20)
+        ups.append(((part >= bound) if up else (part > bound)).cast("long"))
+    tenths = sum(ups[1:], ups[0])
+    exact = F.concat(F.when(F.signum(x) < 0, "-").otherwise(""), (whole + F.floor(tenths / 10)).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return F.when(a < float(2**53), exact).when(a.isNotNull(), F.format_string("%.1f", x))
+
+
 def human_size(n: Column, base: int = 1024) -> Column:
     """A number of bytes with one decimal in the largest unit below it, up to TB."""
     out = F.lit(None).cast("string")
     for k, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))):
-        one = F.format_string(f"%.1f {unit}", n.cast("double") / float(base**k))
+        one = F.concat(one_decimal(n.cast("double") / float(base**k)), F.lit(f" {unit}"))
         out = one if unit == "TB" else F.when(n < float(base ** (k + 1)), one).otherwise(out)
     return out
 

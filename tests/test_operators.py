@@ -170,6 +170,15 @@ def test_fallback_query_counts_rows(spark, tmp_path):
     assert got == {"dropped": 2, "fallback": 3, "split": 4}
 
 
+def test_human_size_rounds_as_sql(spark):
+    # ties go to the even digit, and what is printed is the exact value of the double, not its shortest decimal
+    at = [0.0, 0.05, 0.15, 0.25, 0.35, 0.45, 0.65, 0.75, 0.95, 0.96, 1.25, 11.25, 999.95, 1023.95, 1023.96, -0.25, -0.35, 1e15 + 0.25]
+    rows = spark.createDataFrame([(i, x * 1024) for i, x in enumerate(at)] + [(-1, None)], "i int, n double")
+    got = {r["i"]: (r["a"], r["s"]) for r in rows.select("i", T.one_decimal(F.col("n") / 1024).alias("a"), T.human_size(F.col("n")).alias("s")).collect()}
+    assert [got[i][0] for i in range(len(at))] == [f"{x:.1f}" for x in at] and got[-1] == (None, None)
+    assert (got[11][1], got[13][1], got[14][1]) == ("11.2 KB", "1024.0 KB", "1024.0 KB")
+
+
 def test_nearest_names_meet_by_positions(spark):
     # many points and rows at one position: 500 x 2000 pairs would meet by rows, 1 x 2 do by positions
     at = spark.range(500).select(F.col("id").alias("s"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
