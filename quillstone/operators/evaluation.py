@@ -8,29 +8,56 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quality import shared_paths
+from ..functions.text import shingles
+from ..sources import store
 
 # Characters of a text that a comparison of editions reads, and the ratio from which on two are near.
 READ, NEAR = 6_000, 0.90
 
 
 def mirror_set(mine: DataFrame, theirs: DataFrame, least: float = 0.99) -> DataFrame:
-    """mine, coverage: rows (id, path, text) of one artifact whose words another one's row of the same path holds: least of all five-word runs, or the whole text if it is shorter."""
-    pairs = shared_paths(mine, theirs, "id")
-    words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
-    a, b = mine.select(F.col("id").alias("mine"), F.col("text").alias("t")), theirs.select(F.col("id").alias("theirs"), F.col("text").alias("u"))
-    both = pairs.join(a, "mine").join(b, "theirs").withColumn("short", words(F.col("t")) < 5)
-    short = both.where("short").select("mine", F.when(F.col("t") == F.col("u"), 1.0).otherwise(0.0).alias("coverage"))
-    # each pair is compared alone: its number keeps the runs of different pairs apart
-    long = both.where("not short").select(F.struct("mine", "theirs").alias("id"), "t", "u")
-    got = pair_coverage(long)
-    return short.unionByName(got).groupBy("mine").agg(F.max("coverage").alias("coverage")).where(F.col("coverage") >= least)
+    """mine, coverage: rows (id, path, text) of one artifact whose words another one's row of the same path holds: least (above 0) of all five-word runs, or the whole text if it is shorter.
+
+    Not all pairs of a path are compared. Equal texts cover each other. What covers another text may lack few of its runs, say m: it has one of any
+    m + 1 of them, so the rarest m + 1 of the path give all candidates, and those are compared as strings. Runs meet by 64-bit hashes;
+    equal hashes of different runs could add candidates and lose none.
+    """
+    if least <= 0:
+        raise ValueError("a share that is covered is above 0")
+    spark, h = mine.sparkSession, F.sha2("text", 256).alias("h")
+    a, b = mine.select("id", "path", "text", h), theirs.select("path", "text", h)
+    own = store.scratch(spark, "mirror")
+    # digests are made once; what follows reads narrow rows
+    a.select("id", "path", "h").where("path is not null and h is not null").write.parquet(f"{own}/mine")
+    b.select("path", "h").where("path is not null and h is not null").distinct().write.parquet(f"{own}/theirs")
+    ids, other = spark.read.parquet(f"{own}/mine"), spark.read.parquet(f"{own}/theirs")
+    one = ids.select("path", "h").distinct()
+    same = one.join(other, ["path", "h"], "left_semi")
+    rest = one.join(other, ["path", "h"], "left_anti").join(other.select("path").distinct(), "path", "left_semi")
+    against = other.join(rest.select("path").distinct(), "path", "left_semi")
+    # a text of each path and digest, dealt out by both, so that a common path isn't a task of its own
+    for name, rows, keys in (("a", a, rest), ("b", b, against)):
+        texts = rows.select("path", "h", "text").join(keys, ["path", "h"], "left_semi").dropDuplicates(["path", "h"])
+        texts.select(F.monotonically_increasing_id().alias("n"), "path", "h", "text").write.parquet(f"{own}/{name}")
+    x, y = spark.read.parquet(f"{own}/a"), spark.read.parquet(f"{own}/b")
+    runs = lambda df: df.select("n", F.transform(shingles(F.col("text")), lambda s: F.xxhash64("path", s)).alias("s"))
+    left = runs(x).select("n", F.size("s").alias("total"), F.explode("s").alias("g"))
+    right = runs(y).select(F.col("n").alias("of"), F.explode("s").alias("g"))
+    often = right.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    # round() gives half of the sixth decimal away
+    spare = F.floor(F.col("total") * (1 - least + 1e-6)).cast("int")
+    rare = left.join(often, "g", "left").groupBy("n", "total").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "g"))).alias("r"))
+    # where more runs than may lack are in no text of theirs, none covers this one
+    asked = rare.where(F.get("r", F.least(spare, F.size("r") - 1))["c"] > 0).select("n", F.explode(F.filter(F.slice("r", F.lit(1), spare + 1), lambda r: r["c"] > 0)["g"]).alias("g"))
+    pairs = asked.join(right, "g").select("n", "of").distinct()
+    texts = pairs.join(x.select("n", "path", "h", F.col("text").alias("t")), "n").join(y.select(F.col("n").alias("of"), F.col("text").alias("u")), "of")
+    got = pair_coverage(texts.select(F.struct(F.struct("path", "h").alias("mine")).alias("id"), "t", "u")).groupBy("mine").agg(F.max("coverage").alias("coverage"))
+    got = got.where(F.col("coverage") >= least).select("mine.path", "mine.h", "coverage")
+    return ids.join(same.select("path", "h", F.lit(1.0).alias("coverage")).unionByName(got), ["path", "h"]).groupBy(F.col("id").alias("mine")).agg(F.max("coverage").alias("coverage"))
 
 
 def pair_coverage(pairs: DataFrame) -> DataFrame:
-    """mine, coverage of texts t and u side by side (id: struct<mine, theirs>)."""
-    from ..functions.text import shingles
-
+    """mine, coverage of texts t and u side by side (id: a struct with mine)."""
     s = pairs.select("id.mine", shingles(F.col("t")).alias("a"), shingles(F.col("u")).alias("b"))
     return s.select("mine", F.round(F.size(F.array_intersect("a", "b")) / F.size("a"), 6).alias("coverage"))
 

@@ -190,3 +190,20 @@ def test_nearest_names_meet_by_positions(spark):
     at = spark.createDataFrame([(1, 0.0, 0.0), (1, 0.0, 1.0), (2, None, 0.0)], "s int, lat double, lon double")
     named = spark.createDataFrame([(9, "x", 0.0, 0.1), (8, "x", 0.1, 0.0), (7, "x", 0.0, 1.05), (6, "x", None, 0.0)], "k int, norm string, lat double, lon double")
     assert [(r["s"], r["k"]) for r in places.nearest_names(at, named, 50.0, "s", "k").collect()] == [(1, 7)]
+
+
+def test_mirror_set_compares_few(spark, monkeypatch):
+    # one path of 200 rows on each side: not all 40,000 pairs are compared
+    words = lambda i: [f"w{i}x{j}" for j in range(300)]
+    text = lambda i, gone=(): " ".join(["one opening that all of them share"] + [w for j, w in enumerate(words(i)) if j not in gone])
+    mine = [(i, "p", text(i)) for i in range(200)] + [(900, "p", "a b"), (901, "p", "a c"), (902, "q", text(7)), (903, None, text(7)), (904, "p", None), (905, "p", text(5, {299}))]
+    # 3 follows in full with more words; of 4 a word at the end lacks (1 of 303 runs), of 6 one within (5 of 303)
+    theirs = [(i, "p", text(1000 + i)) for i in range(195)] + [(500, "p", text(3) + " and more"), (501, "p", text(4, {299})), (502, "p", text(6, {100})), (503, "p", "a b"), (504, "p", text(5))]
+    seen, plain = [], evaluation.pair_coverage
+    monkeypatch.setattr(evaluation, "pair_coverage", lambda pairs: (seen.append(pairs.count()), plain(pairs))[1])
+    schema = "id long, path string, text string"
+    a, b = spark.createDataFrame(mine, schema), spark.createDataFrame(theirs, schema)
+    got = {r["mine"]: r["coverage"] for r in evaluation.mirror_set(a, b).collect()}
+    assert got == {3: 1.0, 4: round(302 / 303, 6), 5: 1.0, 900: 1.0, 905: 1.0} and sum(seen) < 50
+    low = {r["mine"]: r["coverage"] for r in evaluation.mirror_set(a, b, 0.95).collect()}
+    assert low == got | {6: round(298 / 303, 6)}
