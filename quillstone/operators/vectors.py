@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import store
+
 #: Vectors in a block of each side. A pair of blocks is one task's unit: bounded, and as many as rows x queries need.
-ROWS, QUERIES = 8192, 256
+ROWS, QUERIES = 5000, 256
+#: Hits that a task holds before it gives those of its oldest block of queries.
+HELD = 500_000
 #: Vectors that codebooks are fitted on; every vector is coded.
 SAMPLE = 20_000
 _BLOCK = "n int, ids binary, rows binary"
@@ -41,24 +45,39 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def topk(vectors: DataFrame, queries: DataFrame, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, vector_blocks: DataFrame | None = None) -> DataFrame:
     """query_id, vec_id, score, rank: the k best of all vectors for each of a stated set of queries.
 
-    Each pair of blocks gives k rows a query; a window over those, not over all scores, gives the ranks.
+    A task holds the best of its own pairs of blocks for a bounded number of queries; a window over what tasks give, not over all scores, gives the ranks.
+    Blocks are written once and a pair is scored where it lies in its Arrow batch, which Spark bounds by bytes: the memory of a task doesn't
+    depend on how many pairs it has.
     score: from (queries, rows) to scores; the inner product by default.
     """
-    left = (blocks(vectors, ROWS) if vector_blocks is None else vector_blocks).select("ids", "rows")
-    right = blocks(queries, QUERIES).select(F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
+    left = store.kept(blocks(queries, QUERIES).select(F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows")), "queries")
+    right = store.kept((blocks(vectors, ROWS) if vector_blocks is None else vector_blocks).select("ids", "rows"), "vectors")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def given(of: bytes) -> pa.RecordBatch:
+            hits = held.pop(of)
+            q = np.repeat(np.frombuffer(of, "<i8"), [len(i) for i, _ in hits])
+            return pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([i for i, _ in hits])), pa.array(np.concatenate([x for _, x in hits]))], ["query_id", "vec_id", "score"])
+
         for b in batches:
-            for ids, rows, n, q_ids, q_rows in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                ids, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                q = np.frombuffer(q_rows, "<f8").reshape(n, -1)
+            for j in range(b.num_rows):
+                of, q_rows, ids, rows = b.column(1)[j].as_py(), b.column(2)[j].as_buffer(), b.column(3)[j].as_buffer(), b.column(4)[j].as_buffer()
+                ids = np.frombuffer(ids, "<i8")
+                q = np.frombuffer(q_rows, "<f8").reshape(b.column(0)[j].as_py(), -1)
                 s = np.round(score(q, rows) if score else q @ np.frombuffer(rows, "<f8").reshape(len(ids), -1).T, 6)
-                at = [best(x, ids, k) for x in s]
-                n_hits = [len(a) for a in at]
-                flat = np.concatenate(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n_hits)), pa.array(ids[flat]), pa.array(s[np.repeat(np.arange(n), n_hits), flat])], ["query_id", "vec_id", "score"])
-
-    hits = left.crossJoin(right).mapInArrow(scored, _HIT)
+                new = [(ids[at], x[at]) for x in s for at in (best(x, ids, k),)]
+                if of in held:
+                    both = [(np.concatenate(i), np.concatenate(x)) for i, x in (zip(o, n, strict=True) for o, n in zip(held[of], new, strict=True))]
+                    new = [(i[at], x[at]) for i, x in both for at in (best(x, i, k),)]
+                elif (len(held) + 1) * QUERIES * k > HELD and held:
+                    yield given(next(iter(held)))
+                held[of] = new
+        for of in list(held):
+            yield given(of)
+
+    hits = left.crossJoin(right).select("q_n", "q_ids", "q_rows", "ids", "rows").mapInArrow(scored, _HIT)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -184,3 +184,30 @@ def test_places_and_suggestions(spark):
     got = corpus.suggest(rows, asked).collect()
     # equal scores: the row that matched more keywords is first
     assert [(r["query_id"], r["id"]) for r in sorted(got, key=lambda r: r["place"])] == [(0, 2), (0, 1)]
+
+
+def test_search_holds_few_hits(spark, monkeypatch):
+    # many blocks of both sides, a task that may hold one block of queries, ids that occur again: the same rows as all scores in order
+    rng = np.random.default_rng(5)
+    rows = [(int(i % 90), [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(120)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    q = v.where("vec_id % 4 = 0")
+    seen, best = [], vectors.best
+    monkeypatch.setattr(vectors, "ROWS", 7)
+    monkeypatch.setattr(vectors, "QUERIES", 5)
+    for held in (1, 60, 10**6):
+        monkeypatch.setattr(vectors, "HELD", held)
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vectors.topk(v, q, 3).collect())
+        seen.append(got)
+    want = []
+    for i in {a for a, _ in rows if a % 4 == 0}:
+        every = sorted(((-round(float(np.dot(x, y)), 6), b) for a, x in rows if a == i for b, y in rows))[:3]
+        want += [(i, r, b, -s) for r, (s, b) in enumerate(every, 1)]
+    assert seen[0] == sorted(want) and seen[1] == seen[0] and seen[2] == seen[0] and best is vectors.best
+
+
+def test_search_takes_pairs_one_by_one(spark, sf):
+    # blocks are read from the shared folder: none is made anew for each pair of partitions, whose workers would hold them
+    v = tables.table(spark, sf, "embeddings").repartition(4)
+    plan = vectors.topk(v, v.where("vec_id % 20 = 0"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
