@@ -9,6 +9,7 @@ from ..functions import figures
 from ..functions import text as T
 from ..functions import titles
 from ..operators import corpus, evaluation, pages, pdf, quality, retrieval, safety, vectors
+from ..sources import store
 from ..sources.tables import CHUNKS_SQL, chunks, table
 from .answers import DOSED, FOLD_SQL, _pool, _turns
 from .queries import ANSWER_SQL, COLLAPSE_SQL, VEC_SQL, WORDS_SQL, _answers, _dense, query
@@ -395,7 +396,7 @@ def hash_sample(spark, d):
 
 @query("M19_page_changes", f"WITH {VEC_SQL}, off_ AS (SELECT query_id, vec_id, rank FROM dn WHERE rank <= 5), on_ AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM dn WHERE vec_id % 4 <> 0 AND dn.rank <= 7), a AS (SELECT query_id, list(vec_id ORDER BY rank) AS a FROM on_ WHERE rank <= 5 GROUP BY 1), b AS (SELECT query_id, list(vec_id ORDER BY rank) AS b FROM off_ GROUP BY 1) SELECT query_id, coalesce(len(a), 0) = 5 AS full, coalesce(a, []) <> b AS changed, len(list_filter(b, lambda x: NOT list_contains(coalesce(a, []), x)))::INT AS gone FROM b LEFT JOIN a USING (query_id)")
 def page_changes(spark, d):
-    off = _dense(spark, d, 7).select("query_id", F.col("vec_id").alias("cid"), "rank")
+    off = store.kept(_dense(spark, d, 7).select("query_id", F.col("vec_id").alias("cid"), "rank"), "pages")
     on = off.where("cid % 4 <> 0").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     return evaluation.page_changes(on, off, 5)
 
