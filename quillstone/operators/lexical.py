@@ -7,6 +7,10 @@ them the row groups that hold them. It is built beside its place and put there b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from ..functions.text import ACCENTED, PLAIN, content_words
 from ..sources import store
 
 BUCKETS = 64
+#: Words of documents that are put in order at once.
+WORDS = 300_000
 
 
 def index_tokens(text: Column) -> Column:
@@ -25,16 +31,42 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, key, tf, dl, places of each document (key, t: its words), WORDS words at a time (or one document)."""
+    for b in batches:
+        sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes), 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS, "right")))
+            part, n = b.slice(at, stop - at), sizes[at:stop]
+            at = stop
+            words = part.column(1).flatten().dictionary_encode()
+            doc = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            k = doc * max(1, len(words.dictionary)) + words.indices.to_numpy()
+            order = np.argsort(k, kind="stable")
+            first = np.flatnonzero(np.diff(k[order], prepend=-1))
+            one, bounds = order[first], np.append(first, len(order)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(place[order].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(words.indices.take(pa.array(one))), part.column(0).take(pa.array(doc[one])), pa.array(np.diff(bounds)), pa.array(n[doc[one]].astype(np.int32)), lists], ["term", "key", "tf", "dl", "places"])
+
+
 def build(docs: DataFrame, path: str, key: str = "doc_id", stamp: str = "") -> None:
-    """Write the index of docs (key, text). One exchange of the words by term; equal words of a document meet behind it."""
+    """Write the index of docs (key, text). A document's words meet where it is read; one exchange of postings by bucket and key, so that
+    a common word isn't a task of its own. Rows of one key are one document."""
     spark = docs.sparkSession
     building = f"{path}.building"
     t = docs.select(F.col(key).alias("key"), index_tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    words = t.select("key", F.size("t").alias("dl"), F.posexplode("t").alias("place", "term")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "term")
-    rows = words.groupBy("term", "key").agg(F.first("dl").alias("dl"), F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
-    rows.withColumn("bucket", bucket(F.col("term"))).sortWithinPartitions("bucket", "term").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{building}/postings")
-    totals = t.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("t")).alias("avgdl")).withColumn("stamp", F.lit(stamp))
-    totals.coalesce(1).write.mode("overwrite").parquet(f"{building}/totals")
+    rows = t.mapInArrow(postings, f"term string, key {t.schema['key'].dataType.simpleString()}, tf int, dl int, places array<int>")
+    if docs.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():
+        rows = rows.groupBy("term", "key").agg(F.sum("tf").cast("int").alias("tf"), F.first("dl").alias("dl"), F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("bucket", bucket(F.col("term"))).repartition(parts, "bucket", F.pmod(F.xxhash64("key"), F.lit(max(1, parts // 8))))
+    rows.sortWithinPartitions("bucket", "term").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{building}/postings")
+    # all words are in the postings: their number isn't counted in the texts again
+    words = spark.read.schema("tf int").parquet(f"{building}/postings").agg(F.sum("tf").alias("words"))
+    totals = docs.agg(F.count(F.lit(1)).alias("N")).crossJoin(words).select("N", F.try_divide(F.coalesce("words", F.lit(0)).cast("double"), "N").alias("avgdl"))
+    totals.withColumn("stamp", F.lit(stamp)).coalesce(1).write.mode("overwrite").parquet(f"{building}/totals")
     store.swap(spark, building, path)
 
 
@@ -70,8 +102,8 @@ def stored(docs: DataFrame, key: str = "doc_id") -> Index:
     return Index(spark, path)
 
 
-def bm25(index: Index, queries: DataFrame, n: int = 10, key: str = "doc_id") -> DataFrame:
-    """query_id, key, score, rank: the n best documents of each query (query_id, term), ties by key.
+def scored(index: Index, queries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """query_id, key, score: all documents that have a term of each query (query_id, term), in no order.
 
     Scores are positive. A term of several words (parted by underscores) is a phrase: its words stand side by side. The queries' terms
     come to the driver to choose what is read; they are a page's questions, not a corpus.
@@ -82,15 +114,21 @@ def bm25(index: Index, queries: DataFrame, n: int = 10, key: str = "doc_id") ->
     parts = asked.select("query_id", "term", F.size("words").alias("n_words"), F.posexplode("words").alias("nth", "word"))
     read = index.terms(terms).withColumnRenamed("term", "word").select("word", "key", "tf", "dl", "places")
     single = parts.where("n_words = 1").select("query_id", "term", "word").join(read.drop("places"), "word").select("query_id", "term", "key", "dl", F.col("tf").alias("f"))
-    starts = parts.where("n_words > 1").join(read, "word").select("query_id", "term", "n_words", "key", "dl", F.explode(F.transform("places", lambda p: p - F.col("nth"))).alias("start"))
-    phrase = starts.groupBy("query_id", "term", "n_words", "key", "dl", "start").agg(F.count(F.lit(1)).alias("c")).where("c = n_words").groupBy("query_id", "term", "key", "dl").agg(F.count(F.lit(1)).cast("int").alias("f"))
+    starts = parts.where("n_words > 1").join(read, "word").select("query_id", "term", "n_words", "key", "dl", F.transform("places", lambda p: p - F.col("nth")).alias("s"))
+    lists = starts.groupBy("query_id", "term", "n_words", "key", "dl").agg(F.collect_list("s").alias("s")).where(F.size("s") == F.col("n_words"))
+    phrase = lists.select("query_id", "term", "key", "dl", F.size(F.aggregate(F.slice("s", F.lit(2), F.size("s")), F.get("s", F.lit(0)), F.array_intersect)).alias("f")).where("f > 0")
     hit = single.unionByName(phrase)
     df = hit.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    scored = hit.join(df, ["query_id", "term"]).crossJoin(F.broadcast(index.totals)).groupBy("query_id", F.col("key").alias(key)).agg(F.round(F.sum(part), 6).alias("score"))
+    # a row for each term of a query
+    return hit.join(F.broadcast(df), ["query_id", "term"]).crossJoin(F.broadcast(index.totals)).groupBy("query_id", F.col("key").alias(key)).agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def bm25(index: Index, queries: DataFrame, n: int = 10, key: str = "doc_id") -> DataFrame:
+    """query_id, key, score, rank: the n best documents of each query (query_id, term), ties by key."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return scored(index, queries, key).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def snippets(index: Index, top: DataFrame, queries: DataFrame, docs: DataFrame, width: int = 18, key: str = "doc_id") -> DataFrame:
@@ -117,9 +155,9 @@ def keyword(index: Index, queries: DataFrame, place: list[str], n: int = 10, sco
         return bm25(index, queries, n, key)
     terms = [r["term"] for r in queries.select("term").distinct().collect()]
     inside = scoped(index, terms, place, key).withColumn("inside", F.lit(1))
-    # what is scoped has no bound but its own number, so the rank is taken over all results
-    every = bm25(index, queries, 2**31 - 1, key).join(inside, key, "left")
-    order = Window.partitionBy("query_id").orderBy(F.col("inside").isNull(), F.asc("rank"))
+    # the order is one key for all results, so each task keeps its n best and no list is sorted as a whole
+    order = Window.partitionBy("query_id").orderBy(F.col("inside").isNull(), F.desc("score"), F.asc(key))
+    every = scored(index, queries, key).join(inside, key, "left")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("inside")
 
 

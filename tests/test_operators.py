@@ -207,3 +207,33 @@ def test_mirror_set_compares_few(spark, monkeypatch):
     assert got == {3: 1.0, 4: round(302 / 303, 6), 5: 1.0, 900: 1.0, 905: 1.0} and sum(seen) < 50
     low = {r["mine"]: r["coverage"] for r in evaluation.mirror_set(a, b, 0.95).collect()}
     assert low == got | {6: round(298 / 303, 6)}
+
+
+def test_index_deals_common_words(spark, monkeypatch):
+    # a word that all documents have is dealt out by their keys; rows of one key are one document; a document may have more words than a step
+    monkeypatch.setattr(lexical, "WORDS", 7)
+    texts = ["the a the", "the", "", None, "the b of the the of the b b b b b b b"] + ["the x"] * 395
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1, "more the of"), (None, "the of")]
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        path = store.scratch(spark, "index")
+        lexical.build(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    i = lexical.Index(spark, path)
+    files = i.postings.where("term = 'the'").select(F.input_file_name().alias("f")).distinct().count()
+    assert files > 1
+    got = {(r["term"], r["key"]): (r["tf"], r["places"]) for r in i.postings.collect()}
+    assert got[("the", 0)] == (2, [0, 2]) and got[("the", 4)] == (4, [0, 3, 4, 6]) and got[("b", 4)][0] == 8 and got[("of", None)] == (1, [1])
+    assert got[("the", 1)] == (2, [0, 1]) and got[("of", 1)] == (1, [2])
+    n = sum(len((t or "").split()) for _, t in rows)
+    assert i.totals.first().asDict() == {"N": 402, "avgdl": n / 402, "stamp": ""}
+    asked = spark.createDataFrame([(0, "of_the"), (1, "the_the"), (2, "the_of_the")], "query_id int, term string")
+    assert sorted((r["query_id"], r["doc_id"]) for r in lexical.scored(i, asked).where("doc_id <> 1").collect()) == [(0, 4), (1, 4), (2, 4)]
+
+
+def test_phrases_are_not_ranked(spark, sf):
+    # no window puts all hits of a query in one task
+    plan = lambda q: registry.queries()[q](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan("L4_phrase") and plan("L7_keyword_scoped").count("Window [") == 1
