@@ -50,9 +50,29 @@ def seeded_sample(rows: DataFrame, by: str, key: str, k: int, seed: str) -> Data
     return rows.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= k)
 
 
+#: Rows of one side of a path that meet in one task.
+SIDE = 1000
+
+
 def shared_paths(mine: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
-    """mine, theirs: keys of rows of two artifacts with one path. A path that very many rows of both sides have is a pair of each."""
-    return mine.select(F.col(key).alias("mine"), "path").join(theirs.select(F.col(key).alias("theirs"), "path"), "path").drop("path")
+    """mine, theirs: keys of rows of two artifacts with one path; rows that are equal in src, path and key count once.
+
+    A path that very many rows of both sides have is a pair of each, which are all output. Such a path is cut into squares of SIDE x SIDE
+    pairs at about, each of which may be a task's, so no task has all pairs of a path.
+    """
+    rows = lambda df, name: df.where("path is not null").select(*({"src", key, "path"} & set(df.columns))).distinct().select(F.col(key).alias(name), "path")
+    a, b = rows(mine, "mine"), rows(theirs, "theirs")
+    size = lambda df, name: df.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias(name))
+    # paths of one square need no dealing; those of more are few: at most one for SIDE rows
+    cuts = size(a, "na").join(size(b, "nb"), "path").where("na > 1 or nb > 1")
+    cut = lambda df, col, n, other, mine_, theirs_: df.join(F.broadcast(cuts), "path", "left").withColumns({
+        mine_: F.pmod(F.xxhash64(col), F.coalesce(n, F.lit(1))).cast("int"), theirs_: F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))}).select(col, "path", mine_, theirs_)
+    x = cut(a, "mine", F.col("na"), F.col("nb"), "i", "j")
+    y = cut(b, "theirs", F.col("nb"), F.col("na"), "j", "i")
+    # dealt out by a stated number: merged by the bytes that they read, squares of many pairs would be one task again
+    parts = int(mine.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x, y = (df.repartition(parts, "path", "i", "j") for df in (x, y))
+    return x.join(y, ["path", "i", "j"]).select("mine", "theirs")
 
 
 def percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:

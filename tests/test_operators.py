@@ -237,3 +237,16 @@ def test_phrases_are_not_ranked(spark, sf):
     # no window puts all hits of a query in one task
     plan = lambda q: registry.queries()[q](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan("L4_phrase") and plan("L7_keyword_scoped").count("Window [") == 1
+
+
+def test_shared_paths_in_squares(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SIDE", 10)
+    mine = [(i, 0, "p") for i in range(95)] + [(200, 0, "q"), (201, 0, None), (202, 0, "r"), (5, 2, "p")]
+    theirs = [(1000 + i, 1, "p") for i in range(45)] + [(2000, 1, "q"), (2001, 1, None), (2002, 1, "s")]
+    make = lambda rows: spark.createDataFrame(rows + rows[:3], "doc_id long, src int, path string")
+    pairs = quality.shared_paths(make(mine), make(theirs), "doc_id")
+    got = sorted((r["mine"], r["theirs"]) for r in pairs.collect())
+    # rows that are equal count once; a key of two artifacts counts for each
+    assert got == sorted([(i, 1000 + j) for i in [*range(95), 5] for j in range(45)] + [(200, 2000)])
+    # the pairs of the common path don't meet by the path alone
+    assert "[path" in (plan := pairs._jdf.queryExecution().optimizedPlan().toString()) and any(" i#" in line and " j#" in line for line in plan.splitlines() if "Join Inner" in line)
