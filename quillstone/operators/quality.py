@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +48,48 @@ def containment(mine: DataFrame, theirs: DataFrame, k: int = 5) -> DataFrame:
     return x.join(y, "g").groupBy("a", "b", "total").agg(F.count(F.lit(1)).alias("shared")).select("a", "b", F.round(F.col("shared") / F.col("total"), 6).alias("coverage"))
 
 
+#: Ids of one block of neighbours.
+BLOCK = 64
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def neighbours(docs: DataFrame, k: int = 5) -> DataFrame:
+    """doc_id, shared, mine, next: distinct k-word runs that a document shares with the next id's, and how many each has. Rows of one id are a pair each.
+
+    A text is sent once, to the task of its block of ids, and the first of a block to the one before as well; in a task texts
+    lie in the order of ids, and runs are made there and compared as words, two ids at a time. A null text has no words.
+    """
+    id_ = F.col("doc_id").cast("long")
+    block = lambda d: F.shiftright(d, BLOCK.bit_length() - 1)
+    rows = docs.where("doc_id is not null").select(id_.alias("doc_id"), "text", F.explode(F.array_distinct(F.array(block(id_), block(id_ - 1)))).alias("block"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "block").sortWithinPartitions("block", "doc_id").select("block", "doc_id", "text")
+
+    def runs(text: str | None) -> set[tuple[str, ...]]:
+        w = [x for x in _SPACE.split(text or "") if x]
+        return set(zip(*(w[i:] for i in range(k)), strict=False))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[set] = []
+        now: list[set] = []
+        at: tuple[int, int] | None = None
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                here = (b.column(0)[i].as_py(), b.column(1)[i].as_py())
+                if here != at:
+                    last = now if at is not None and here == (at[0], at[1] + 1) else []
+                    now, at = [], here
+                s = runs(b.column(2)[i].as_py())
+                now.append(s)
+                # pairs belong to the block of their first id
+                out += [(here[1] - 1, len(t & s), len(t), len(s)) for t in last if (here[1] - 1) >> (BLOCK.bit_length() - 1) == here[0]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.int32()] * 3), strict=True)], ["doc_id", "shared", "mine", "next"])
+
+    return rows.mapInArrow(compared, "doc_id long, shared int, mine int, next int")
+
+
 def seeded_sample(rows: DataFrame, by: str, key: str, k: int, seed: str) -> DataFrame:
     """k rows of each group in the order of md5(seed|key)."""
     w = Window.partitionBy(by).orderBy(F.md5(F.concat(F.lit(seed + "|"), F.col(key).cast("string"))), key)

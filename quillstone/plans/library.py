@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus, places
+from ..operators import corpus, places, quality
 from ..sources.tables import table, upsert
 from .answers import FOLD_SQL
 from .queries import WORDS_SQL, query
@@ -176,9 +176,8 @@ def case_share(spark, d):
 
 @query("L11_near_duplicate_pages", "WITH s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM (SELECT doc_id, " + WORDS_SQL("text") + " AS w FROM documents)) SELECT a.doc_id, len(list_intersect(a.s, b.s)) >= 0.55 * least(len(a.s), len(b.s)) AS near FROM s a JOIN s b ON b.doc_id = a.doc_id + 1 WHERE len(a.s) > 0 AND len(b.s) > 0")
 def near_duplicate_pages(spark, d):
-    s = table(spark, d, "documents").select("doc_id", T.shingles(F.col("text")).alias("s"))
-    o = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t"))
-    return s.join(o, "doc_id").where((F.size("s") > 0) & (F.size("t") > 0)).select("doc_id", (F.size(F.array_intersect("s", "t")) >= 0.55 * F.least(F.size("s"), F.size("t"))).alias("near"))
+    n = quality.neighbours(table(spark, d, "documents")).where("mine > 0 and next > 0")
+    return n.select("doc_id", (F.col("shared") >= 0.55 * F.least("mine", "next")).alias("near"))
 
 
 # -- suggestion

@@ -250,3 +250,18 @@ def test_shared_paths_in_squares(spark, monkeypatch):
     assert got == sorted([(i, 1000 + j) for i in [*range(95), 5] for j in range(45)] + [(200, 2000)])
     # the pairs of the common path don't meet by the path alone
     assert "[path" in (plan := pairs._jdf.queryExecution().optimizedPlan().toString()) and any(" i#" in line and " j#" in line for line in plan.splitlines() if "Join Inner" in line)
+
+
+def test_neighbours_across_blocks(spark):
+    # pairs at the edge of a block, below zero, of ids that occur again, without text, with gaps
+    text = lambda i: " ".join(f"w{j}" for j in range(i % 5, 12)) + " x\ty"
+    rows = [(i, text(i)) for i in [*range(-66, -60), -1, 0, 1, *range(60, 70), 127, 128, 128, 500]] + [(2, None), (129, "a b"), (None, "w0 w1 w2 w3 w4 w5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in quality.neighbours(docs).collect())
+    s = docs.where("doc_id is not null").select("doc_id", F.coalesce(T.shingles(F.coalesce("text", F.lit(""))), F.array()).alias("s"))
+    o = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t"))
+    want = s.join(o, "doc_id").select("doc_id", F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t")).collect()
+    assert got == sorted(tuple(r) for r in want) and len(got) > 15
+    # a text goes through one exchange, and its runs through none
+    plan = quality.neighbours(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
