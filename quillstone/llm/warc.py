@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ from .common import shared_dir, staged, table
 SEGMENT = 16 * 1024
 #: Bytes of one chunk of the transfer framing.
 CHUNK = 4096
+#: Bytes of blocks that are decoded at once.
+PART = 4 << 20
 DATE = "2024-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = b"\r\n\r\n"
@@ -147,7 +150,8 @@ def write_archives(pages: DataFrame, where: str, segment: int = SEGMENT) -> None
         for b in batches:
             out: list[bytes] = []
             size = 0
-            for r in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "rid", "refers_to")), strict=True):
+            # rows are made objects one at a time: a batch of pages isn't held twice
+            for r in (tuple(b.column(c)[i].as_py() for c in ("page_id", "url", "html", "digest", "rid", "refers_to")) for i in range(b.num_rows)):
                 for x in page_records(r[0], r[1], (r[2] or "").encode(), r[3], r[4], r[5], segment):
                     out.append(member(x + END)[: -len(MEMBER_END)])
                     size += len(out[-1])
@@ -238,14 +242,22 @@ def decode(responses: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for block in b.column("block").to_pylist():
-                head, _, body = block.partition(END)
-                out.append(unframe(body) if b"transfer-encoding: chunked" in head.lower() else body)
-            digests = [base64.b32encode(hashlib.sha1(p).digest()).decode() for p in out]
-            if digests != b.column("digest").to_pylist():
-                raise ValueError("a payload doesn't have its record's digest")
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("url"), pa.array(digests), pa.array(list(map(len, out)), pa.int64()), b.column("n_segments"), pa.array(out, pa.binary())], ["rid", "url", "digest", "payload_bytes", "n_segments", "payload"])
+            # parts of a batch, PART bytes of blocks each (or one block)
+            sizes, at = pc.binary_length(b.column("block")).to_pylist(), 0
+            while at < len(sizes):
+                stop, size = at + 1, sizes[at]
+                while stop < len(sizes) and size + sizes[stop] <= PART:
+                    size += sizes[stop]
+                    stop += 1
+                part, at = b.slice(at, stop - at), stop
+                out = []
+                for block in part.column("block"):
+                    head, _, body = block.as_py().partition(END)
+                    out.append(unframe(body) if b"transfer-encoding: chunked" in head.lower() else body)
+                digests = [base64.b32encode(hashlib.sha1(p).digest()).decode() for p in out]
+                if digests != part.column("digest").to_pylist():
+                    raise ValueError("a payload doesn't have its record's digest")
+                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("url"), pa.array(digests), pa.array(list(map(len, out)), pa.int64()), part.column("n_segments"), pa.array(out, pa.binary())], ["rid", "url", "digest", "payload_bytes", "n_segments", "payload"])
 
     return responses.mapInArrow(rows, "rid string, url string, digest string, payload_bytes long, n_segments int, payload binary")
 

@@ -10,6 +10,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -696,3 +697,18 @@ def test_op10_head():
     for hashes in (h, h[:0], h[:1], np.append(h, np.uint64(2**64 - 1))):
         at, hit = lm.Head(hashes).find(asked)
         assert (at == np.searchsorted(hashes, asked)).all() and (hit == np.isin(asked, hashes)).all()
+
+
+def test_op4_decodes_parts_of_a_batch(monkeypatch):
+    # what is decoded at once is bounded by bytes, not by the batch
+    class Taken:
+        def mapInArrow(self, f, schema):
+            return f
+
+    monkeypatch.setattr(warc, "PART", 3000)
+    texts = [b"x" * n for n in (1000, 10, 0, 5000, 1500, 1500, 20)]
+    digests = [base64.b32encode(hashlib.sha1(t).digest()).decode() for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(7)]), pa.array(digests), pa.array(["u"] * 7), pa.array([1] * 7, pa.int32()), pa.array([warc.HTTP + warc.frame(t) for t in texts], pa.binary())], ["rid", "digest", "url", "n_segments", "block"])
+    got = list(warc.decode(Taken())(iter([batch, batch.slice(0, 0)])))
+    assert [r for b in got for r in b.column("payload").to_pylist()] == texts and [r for b in got for r in b.column("rid").to_pylist()] == [str(i) for i in range(7)]
+    assert len(got) > 2 and all(b.num_rows == 1 or sum(map(len, b.column("payload").to_pylist())) <= 3000 for b in got)
