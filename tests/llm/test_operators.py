@@ -690,6 +690,36 @@ def test_op10_parts(monkeypatch):
     assert np.allclose(np.exp(logs).sum(axis=0), 1, atol=1e-3)
 
 
+def test_op10_equal_texts_score_alike():
+    """To the last bit, whatever texts stand beside them."""
+    ids, key, count, counts, of = parts_of(2)
+    s = lm.Scorer(lm.Model(), lm.inputs_of(counts, of), lm.Pairs(counts, of, key, count))
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 31, 32, 33, 60, 61, 200, 3000):
+        text = np.append(rng.integers(0, 700, n - 1), lm.END)
+        alone = s.texts(text, np.array([0, n]))[0]
+        for before in (1, 5, 40, 1000):
+            other = np.append(rng.integers(0, 700, before - 1), lm.END)
+            got = s.texts(np.concatenate([other, text, other, text]), np.cumsum([0, before, n, before, n]))
+            assert got[1] == got[3] == alone and got[0] == got[2], (n, before)
+
+
+def test_op10_graphs(monkeypatch):
+    """Steps and scores of the compiled graphs are those of numpy; without the library numpy is used."""
+    m, rng = lm.Model(), np.random.default_rng(9)
+    m.b[:], m.c[:] = rng.normal(size=lm.CONTEXT), rng.normal(size=lm.CLASSES)
+    m.settle()
+    x, y = rng.integers(0, lm.INPUTS + lm.CLASSES, (lm.PART + 3, lm.CONTEXT)), rng.integers(0, lm.CLASSES, (lm.PART + 3, lm.CONTEXT))
+    loss, g = m.loss(x, y)
+    logs = m.logs(x, y)
+    assert {"step", "logs"} <= lm._GRAPHS.keys()
+    monkeypatch.setattr(lm.graph, "onnxruntime", None)
+    monkeypatch.setattr(lm, "compiled", None)
+    want, plain = m.loss(x, y)
+    assert abs(loss - want) < 1e-5 and g.keys() == plain.keys() and np.allclose(logs, m.logs(x, y), atol=1e-4)
+    assert all(g[n].shape == plain[n].shape and np.allclose(g[n], plain[n], rtol=1e-3, atol=1e-6) for n in m.NAMES)
+
+
 def test_op10_head():
     rng = np.random.default_rng(1)
     h = np.unique(rng.integers(0, 2**64 - 1, 5000, dtype=np.uint64, endpoint=True))
